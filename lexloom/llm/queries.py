@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encoding, frequency, splitting
+from lexloom.llm import encoding, frequency, quality, splitting
 from lexloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"), encoding.default_vocabulary())
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and structural kind of every document."""
+    return quality.document_quality(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for the most part a list, a table or junk."""
+    return p8_stats(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 _TERM_SQL = """
 WITH records AS (
     SELECT doc_id, arg_max(text, (ingested_at, text)) AS text FROM corpus GROUP BY doc_id
@@ -57,7 +67,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p6_ids)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p6_ids, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
