@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encoding, frequency, quality, splitting
+from lexloom.llm import encoding, frequency, leakage, quality, splitting
 from lexloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"), encoding.default_vocabulary())
 
 
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak an item, with the share of its wording that they hold."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak an item."""
+    return p7_shares(spark, sf_dir).select("doc_id", "item_id")
+
+
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and structural kind of every document."""
     return quality.document_quality(table(spark, sf_dir, "documents"))
@@ -67,7 +77,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p6_ids, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
