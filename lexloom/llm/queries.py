@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encoding, frequency, leakage, quality, splitting
+from lexloom.llm import canonical, encoding, frequency, leakage, quality, splitting
 from lexloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list item of every entity, and whether its name or an alias told it."""
+    return canonical.map_entities(table(spark, sf_dir, "entities"), table(spark, sf_dir, "canonical_names"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list item of every entity, 0 where it means none."""
+    return p1_matches(spark, sf_dir).select("entity_id", "canon_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks over the cap and whether natural boundaries suffice to cut them."""
     return p2_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id", "cut_kind")
@@ -77,7 +87,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
