@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical, encoding, frequency, leakage, quality, splitting
+from lexloom.llm import canonical, encoding, frequency, language, leakage, quality, splitting
 from lexloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of records without a right label, and the language of each line of mixed records, with confidence."""
+    corpus = table(spark, sf_dir, "corpus")
+    return language.detect_languages(corpus, language.fit_ppm(corpus))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the confidence."""
+    return p4_lines(spark, sf_dir).select("doc_id", "line_no", "lang")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_documents(table(spark, sf_dir, "documents"), encoding.default_vocabulary())
@@ -87,7 +98,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
