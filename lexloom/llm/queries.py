@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical, encoding, frequency, language, leakage, quality, splitting
+from lexloom.llm import canonical, encoding, frequency, language, leakage, pairs, quality, splitting
 from lexloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_lines(spark, sf_dir).select("doc_id", "line_no", "lang")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken entries of the question log, with the first defect that fits."""
+    judge = pairs.fit_judge(table(spark, sf_dir, "corpus"))
+    return pairs.broken_pairs(table(spark, sf_dir, "qna_log"), judge)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_documents(table(spark, sf_dir, "documents"), encoding.default_vocabulary())
@@ -98,7 +104,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
