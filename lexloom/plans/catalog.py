@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.plans import retrieval_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = []
+_MODULES: list = [text_queries, retrieval_queries]
 
 
 def queries() -> dict[str, Query]:
