@@ -49,7 +49,7 @@ def overlap(keyword_terms: DataFrame, terms: DataFrame) -> DataFrame:
     query_size = terms.groupBy("qid").agg(F.count("*").alias("n_q"))
     both = keyword_terms.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
     score = 0.7 * F.col("n") / F.col("n_q") + 0.3 * F.col("n") / (F.col("n_q") + F.col("n_k") - F.col("n"))
-    return both.join(query_size, "qid").join(doc_size, "doc_id").select("qid", "doc_id", F.round(score, DECIMALS).alias("score"))
+    return both.join(query_size, "qid").join(doc_size, "doc_id").select("qid", "doc_id", F.round(score, 9).alias("score"))
 
 
 def _best(score: str) -> Column:

@@ -205,7 +205,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sco
 kws AS (SELECT * FROM (SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, first_pos) AS rank
         FROM (SELECT doc_id, post.term, first_pos, tf * (ln((n_docs + 1.0) / (df + 1)) + 1) AS score FROM post JOIN dfs USING (term), stats)) WHERE rank <= 30),
 n_k AS (SELECT doc_id, count(*) AS n_k FROM kws GROUP BY 1), n_q AS (SELECT qid, count(*) AS n_q FROM qterm GROUP BY 1),
-ov AS (SELECT qid, doc_id, round(0.7::DOUBLE * n / n_q + 0.3::DOUBLE * n / (n_q + n_k - n), 6) AS score FROM (SELECT qid, doc_id, count(*) AS n FROM kws JOIN qterm USING (term) GROUP BY 1, 2) JOIN n_q USING (qid) JOIN n_k USING (doc_id)),
+ov AS (SELECT qid, doc_id, round(0.7::DOUBLE * n / n_q + 0.3::DOUBLE * n / (n_q + n_k - n), 9) AS score FROM (SELECT qid, doc_id, count(*) AS n FROM kws JOIN qterm USING (term) GROUP BY 1, 2) JOIN n_q USING (qid) JOIN n_k USING (doc_id)),
 cand AS (SELECT bm.qid, bm.doc_id, bm.score AS bm, bm.rank AS bm_rank, coalesce(ov.score, 0.0) AS kw FROM bm LEFT JOIN ov ON bm.qid = ov.qid AND bm.doc_id = ov.doc_id),
 ds AS (SELECT DISTINCT doc_id, regexp_replace(lower(s), '[^0-9a-z가-힣]+', '', 'g') AS s FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?。]\\s+|[.!?。]$')) AS s FROM documents)),
 es AS (SELECT DISTINCT qid, regexp_replace(lower(s), '[^0-9a-z가-힣]+', '', 'g') AS s FROM (SELECT item_id AS qid, unnest(regexp_split_to_array(item_text, '[.!?。]\\s+|[.!?。]$')) AS s FROM eval_items)),
