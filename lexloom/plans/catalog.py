@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import retrieval_queries, store_queries, tagging_queries, text_queries
+from lexloom.plans import retrieval_queries, store_queries, stream_queries, tagging_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = [text_queries, retrieval_queries, tagging_queries, store_queries]
+_MODULES: list = [text_queries, retrieval_queries, tagging_queries, store_queries, stream_queries]
 
 
 def queries() -> dict[str, Query]:
