@@ -126,7 +126,7 @@ def fit_ppm(corpus: DataFrame, **bounds) -> PPM:
     return PPM(training_lines(corpus, **bounds))
 
 
-def judge_lines(model: PPM, lines: list[str], junk_bits: float = 4.6) -> list[tuple[str, float, np.ndarray, int]]:
+def judge_lines(model: PPM, lines: list[str], junk_bits: float = 6.4) -> list[tuple[str, float, np.ndarray, int]]:
     """(language, confidence, bits by language, letters) of each line on its own; ``und`` where nothing is in a natural language."""
     texts = [plain(x) for x in lines]
     bits, size = model.score(texts)
@@ -138,7 +138,7 @@ def judge_lines(model: PPM, lines: list[str], junk_bits: float = 4.6) -> list[tu
             out.append(("und", 1.0, b, letters))
             continue
         best = int(b.argmin())
-        if b[best] / n > junk_bits and letters >= 8 or (n > 40 and b[best] / n > 0.8 * junk_bits and text.count(" ") * 30 < n < 2 * len(text)):
+        if letters >= 8 and b[best] / n > junk_bits:  # longer than text of any language, even of unknown words
             out.append(("und", 1.0, b, letters))
             continue
         odds = np.exp2(np.clip(b[best] - b, -60, 0))

@@ -47,11 +47,13 @@ _END = re.compile(r"[.!?。！？…:;][\"'”’)\]」』]*$")
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _RULER = re.compile(r"^[\s|+\-=:─━┼┬┴├┤│┌┐└┘═╪╬]+$")
 _HTML_ROW = re.compile(r"</?t[rdh][ >/]|</?table", re.I)
-_MARK = re.compile(r"^(?:[-*•▶·‣◦○●■□◆▪–—]|\[[ xXvV]?\]|[☐☑☒✓✔]|\(?\d{1,3}[.)]|\(?[a-zA-Z가-힣][.)]|\d+(?:\.\d+)+\.?|[①-⑳])\s+")
+_MARK = re.compile(r"^(?:(?:[-*•▶·‣◦○●■□◆▪–—]|\[[ xXvV]?\]|[☐☑☒✓✔]|\(?\d{1,3}[.)]|\[\d{1,3}\]|\(?[a-zA-Z가-힣][.)]|[①-⑳])\s+|\d+(?:\.\d+)+\.?\s(?=[^\W\d_]))")
 _LEADER = re.compile(r"\.{4,}\s*\d*$|…{2,}\s*\d*$")
 _PAIR = re.compile(r"^\S(?:.{0,38}?\S)?\s*(?:[=→⇒]|->|=>|:\s|\s[-–—]\s)\s*\S.{0,60}$")
 _PATH = re.compile(r"^(?:[A-Za-z]:)?[/\\]\S+$|^\S+[/\\]\S+[/\\]\S*$|^https?://\S+$")
-_SEPARATORS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), ("│", re.compile(r"\s*│\s*")), (";", re.compile(r"\s*;\s*")), ("--", re.compile(r"\s+--\s+")), ("  ", re.compile(r"\s{2,}")), (",", re.compile(r",")))
+_SEPARATORS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), ("│", re.compile(r"\s*│\s*")), (";", re.compile(r"\s*;\s*")), ("--", re.compile(r"(?:^|\s+)--(?:\s+|$)")), ("  ", re.compile(r"\s{2,}")), (",", re.compile(r",")))
+_INLINE_TAG = re.compile(r"</?(?!t[rdh][ >/]|table|thead|tbody)[a-zA-Z][^<>\n]{0,100}>")
+_GAP = re.compile(r"\S\s{2,}\S|^\s{3,}\S")
 _INLINE = re.compile(r"\s*[;|·•]\s+|\s#|,\s+|\s[/›»]\s")
 
 #: Shares of (common words, other words, numbers and codes, marks) in prose of each language, and in lists and junk.
@@ -80,6 +82,8 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
 @lru_cache(maxsize=1 << 18)
 def _token(token: str) -> tuple[str, int]:
     """Languages (space separated) in which a token is a common word, and its class: 1 word, 2 number or code, 3 mark; cached, as tokens recur."""
+    if len(token) == 1 and token.isupper() and token not in "AIO":  # a mark in a cell, no word
+        return "", 3
     word = token.lower().strip(_EDGES)
     if not word:
         return "", 2 if any(map(str.isalnum, token)) else 3
@@ -205,10 +209,14 @@ def line_kind(line: str, known: tuple | None = None) -> tuple[str, str]:
 
 def structure(text: str) -> tuple[Counter, dict[str, float]]:
     """Characters of a text by kind of line, and counts over its lines."""
+    if "<" in text:
+        text = _INLINE_TAG.sub(" ", text)
     lines = [ln for ln in _LINES.split(text) if ln and not ln.isspace()]
     by: Counter = Counter()
     classes = [token_classes(ln) for ln in lines]
     kinds = [line_kind(ln, c) for ln, c in zip(lines, classes)]
+    if ("table", "  ") in kinds:  # beside a row of aligned cells, lines with a gap are rows with empty cells
+        kinds = [("table", "  ") if k == "list" and _GAP.search(ln) else (k, s) for ln, (k, s) in zip(lines, kinds)]
     rows = sum(k == "table" and s != "ruler" for k, s in kinds)
     for ln, (kind, _) in zip(lines, kinds):
         if kind == "table" and rows < 2:  # one row is no table: its cells are entries
