@@ -109,7 +109,7 @@ def clean_lines(text: Column, most: int = 12_000) -> Column:
 
 
 def clean_controls(text: Column) -> Column:
-    """Control characters other than LF, CR and TAB as blanks, runs of white space as one blank; '' where under ten characters remain."""
+    """Control characters other than LF, CR and TAB as blanks, runs of white space as one blank; '' where under ten characters remain, and for null."""
     t = trim_space(F.regexp_replace(F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", " "), r"\s+", " "))
     return F.when(F.length(t) >= 10, t).otherwise("")
 
