@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,25 +101,30 @@ def yake_terms(text: str, n: int = 3, dedup: float = 0.7, k: int = 30) -> list[t
                 total += weight[x]
         scored.append((product / (c * (1 + total)), " ".join(g)))
     kept: list[tuple[float, str]] = []
+    letters: list[Counter] = []
     for s, phrase in sorted(scored):
-        if all(_similarity(phrase, p) <= dedup for _, p in kept):
+        own = Counter(phrase)
+        if not any(_similar(phrase, p, own, c, dedup) for (_, p), c in zip(kept, letters)):
             kept.append((s, phrase))
+            letters.append(own)
             if len(kept) == k:
                 break
     best = 1 / (1 + kept[0][0])
     return [(p, 1 / (1 + s) / best) for s, p in kept]
 
 
-def _similarity(a: str, b: str) -> float:
-    """1 - edit distance over the longer length; 0 at once where lengths are far apart."""
-    if abs(len(a) - len(b)) > 0.3 * max(len(a), len(b)):
-        return 0.0
+def _similar(a: str, b: str, of_a: Counter, of_b: Counter, most: float) -> bool:
+    """Whether 1 - edit distance over the longer length exceeds ``most``; letters that only one has are a bound that spares most comparisons."""
+    longer = max(len(a), len(b))
+    allowed = (1 - most) * longer
+    if abs(len(a) - len(b)) >= allowed or max(sum((of_a - of_b).values()), sum((of_b - of_a).values())) >= allowed:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+    return 1 - row[-1] / longer > most
 
 
 def yake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 30, max_chars: int = 4000) -> DataFrame:

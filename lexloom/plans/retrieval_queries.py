@@ -13,7 +13,7 @@ from lexloom.operators import evaluation as E
 from lexloom.operators import postings as P
 from lexloom.operators import retrieval as R
 from lexloom.plans.text_queries import SIMPLE_SQL, TAGGING_SQL
-from lexloom.session import table
+from lexloom.session import spread, table
 
 TOP = 100
 ALPHAS = (0.0, 0.05, 0.1, 0.2, 0.3)
@@ -24,7 +24,7 @@ def _tokens():
 
 
 def _post(spark, d):
-    return P.postings(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _tokens())
+    return P.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", _tokens())
 
 
 def _questions(spark, d):
@@ -36,7 +36,7 @@ def _n_docs(spark, d):
 
 
 def _avgdl(spark, d):
-    return P.corpus_stats(table(spark, d, "documents").select("text"), _tokens()).select("avgdl").scalar()
+    return P.corpus_stats(spread(table(spark, d, "documents").select("text")), _tokens()).select("avgdl").scalar()
 
 
 def _bm25(spark, d, k=1000):
@@ -66,7 +66,7 @@ def _sentences(text):
 
 def _qrels(spark, d):
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.explode(_sentences(F.col("item_text"))).alias("s"))
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.explode(_sentences(F.col("text"))).alias("s"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()).select("doc_id", F.explode(_sentences(F.col("text"))).alias("s"))
     return docs.join(items, "s").groupBy("qid", "doc_id").agg(F.count("*").cast("int").alias("rel"))
 
 
@@ -77,7 +77,7 @@ def doc_frequency(spark, d):
 
 def corpus_statistics(spark, d):
     """Number and lengths of the documents."""
-    return P.corpus_stats(table(spark, d, "documents").select("text"), _tokens()).withColumn("avgdl", F.round("avgdl", 6))
+    return P.corpus_stats(spread(table(spark, d, "documents").select("text")), _tokens()).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def tf_topk_keywords(spark, d):
@@ -163,7 +163,7 @@ def alpha_sweep(spark, d):
 def keyword_quality(spark, d):
     """Quality of the TF-IDF keywords."""
     kw = _keywords(spark, d).groupBy("doc_id").agg(F.collect_list("term").alias("kw"))
-    docs = table(spark, d, "documents").select("doc_id", _tokens().alias("tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", _tokens().alias("tokens"))
     return E.keyword_quality(kw, docs, _questions(spark, d).select("qid", _tokens().alias("tokens")), _qrels(spark, d))
 
 

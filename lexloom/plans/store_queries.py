@@ -11,7 +11,7 @@ from lexloom.operators import postings as P
 from lexloom.operators import search as S
 from lexloom.operators import store as ST
 from lexloom.plans import tagging_queries as Q
-from lexloom.session import table
+from lexloom.session import spread, table
 
 AS_OF = "2024-01-31 00:00:00"
 QUERY = "server 로그파일"
@@ -118,7 +118,7 @@ def chunk_policy(spark, d):
 
 def chunks_made(spark, d):
     """Chunks of every document."""
-    docs = table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"), "genre", F.array_distinct(X.tagging_tokens(F.col("title"))).alias("topic"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "title", "text", "genre")).select("doc_id", X.normalize_text(F.col("text")).alias("text"), "genre", F.array_distinct(X.tagging_tokens(F.col("title"))).alias("topic"))
     return H.chunk_documents(docs)
 
 

@@ -12,13 +12,13 @@ from lexloom.operators import postings as P
 from lexloom.operators import tagging as T
 from lexloom.plans.retrieval_queries import _POST, _keywords
 from lexloom.plans.text_queries import TAGGING_SQL
-from lexloom.session import table
+from lexloom.session import spread, table
 
 CATEGORIES = {"procedure": "절차", "report": "보고", "issue": "장애", "resolution": "조치", "application": "신청", "form": "양식", "maintenance": "점검", "guide": "안내", "record": "기록"}
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "title", "text", "genre")
+    return spread(table(spark, d, "documents").select("doc_id", "title", "text", "genre"))
 
 
 def _n(spark, d):
@@ -26,11 +26,11 @@ def _n(spark, d):
 
 
 def _avgdl(spark, d):
-    return P.corpus_stats(table(spark, d, "documents").select("text"), X.tagging_tokens(F.col("text"))).select("avgdl").scalar()
+    return P.corpus_stats(spread(table(spark, d, "documents").select("text")), X.tagging_tokens(F.col("text"))).select("avgdl").scalar()
 
 
 def _rake(spark, d, k=30):
-    return K.rake(table(spark, d, "documents").select("doc_id", "text"), k=k)
+    return K.rake(spread(table(spark, d, "documents").select("doc_id", "text")), k=k)
 
 
 def _tfidf_phrases(spark, d, k=30):
@@ -44,7 +44,7 @@ def rake_keywords(spark, d):
 
 def yake_keywords(spark, d):
     """The 30 best YAKE phrases of every document."""
-    return K.yake(table(spark, d, "documents"))
+    return K.yake(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def ensemble_union2(spark, d):
@@ -152,17 +152,17 @@ def chunked_tag_merge(spark, d):
 
 def genre_classify(spark, d):
     """Genre of every document by the tagger's rules."""
-    return C.classify_genre(table(spark, d, "documents"), GENRE_RULES, 120, ["doc_id"])
+    return C.classify_genre(_docs(spark, d), GENRE_RULES, 120, ["doc_id"])
 
 
 def genre_light(spark, d):
     """Genre of every document by the light rules."""
-    return C.classify_genre(table(spark, d, "documents"), GENRE_RULES_LIGHT, 80, ["doc_id"])
+    return C.classify_genre(_docs(spark, d), GENRE_RULES_LIGHT, 80, ["doc_id"])
 
 
 def entities_light(spark, d):
     """Customers, products, versions and error codes named in every document."""
-    return C.extract_entities(table(spark, d, "documents"), ["doc_id"])
+    return C.extract_entities(_docs(spark, d), ["doc_id"])
 
 
 def domain_pattern(spark, d):

@@ -28,3 +28,14 @@ def local_session(cores: int = 8, app: str = "lexloom", memory: str = "12g") ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the data directory ``sf_dir``."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores.
+
+    A table that comes in fewer partitions (a small file, one row group) would
+    leave cores idle in work that is heavy per row; larger tables pass
+    through as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
