@@ -277,9 +277,10 @@ def broken_pairs(pairs: DataFrame, judge: PairJudge, id_col: str = "entry_id", p
     """
     spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(judge)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fixed, as the work lies in the judging, not in the bytes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best = F.max(F.struct(F.col(order_col).alias("o"), F.col(prompt_col).alias("q"), F.col(response_col).alias("a"))).alias("_best")
-    rows = pairs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), order_col, prompt_col, response_col).repartition(parts, "_id").groupBy("_id").agg(best).select("_id", "_best.q", "_best.a")
+    rows = pairs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), order_col, prompt_col, response_col).groupBy("_id").agg(best).select("_id", "_best.q", "_best.a")
+    rows = rows.repartition(parts)  # a fixed number, as the work lies in the judging, not in the bytes; after the rows of an id were combined
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
