@@ -32,7 +32,7 @@ def rake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
     Texts over ``max_chars`` are skipped, as the method prescribes; ties by
     phrase.  Ids must be distinct: all grouping is by document.
     """
-    src = docs.where(F.length(text) <= max_chars).select(F.col(doc_id).alias("doc_id"), rake_phrases(F.col(text), max_words).alias("p")).where(F.size("p") > 0)
+    src = docs.where(F.length(text) <= max_chars).select(F.col(doc_id).alias("doc_id"), rake_phrases(F.col(text), max_words).alias("p"))
     phrases = src.select("doc_id", F.explode("p").alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
     words = phrases.withColumn("w", F.split("phrase", " "))
     scores = words.select("doc_id", "n", F.size("w").alias("m"), F.explode("w").alias("word")).groupBy("doc_id", "word").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("ws"))

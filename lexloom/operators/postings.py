@@ -23,14 +23,15 @@ def latest(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
-    """(doc_id, term, tf, first_pos, dl): occurrences of each distinct term of a document, its first position and the document's length.
+    """(doc_id, term, tf, first_pos, dl, n_terms): occurrences of each distinct term of a document, its first position, the document's length and its number of distinct terms.
 
-    Documents without tokens have no row.  The terms of a document are
-    counted within its row, so nothing is shuffled; ids must be distinct.
+    Documents without tokens have no row; ids must be distinct.  Where the
+    documents are partitioned by id the counting needs no exchange.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).where(F.size("t") > 0)
-    placed = base.select("doc_id", F.size("t").alias("dl"), F.posexplode("t").alias("p", "term"))
-    return placed.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.min("p").alias("first_pos")).select("doc_id", "term", "tf", "first_pos", "dl")
+    base = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).withColumns({"dl": F.size("t"), "n_terms": F.size(F.array_distinct("t"))})
+    placed = base.select("doc_id", "dl", "n_terms", F.posexplode("t").alias("p", "term"))  # sizes come first: they are per document, not per token
+    counted = placed.groupBy("doc_id", "dl", "n_terms", "term").agg(F.count("*").alias("tf"), F.min("p").alias("first_pos"))
+    return counted.select("doc_id", "term", "tf", "first_pos", "dl", "n_terms")
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
 
 
 def top_terms(post: DataFrame, df: DataFrame, n_docs: Column, k: int = 30) -> DataFrame:
-    """(doc_id, term, score, rank): the k best terms of each document by tf * (ln((N + 1) / (df + 1)) + 1); ties by first occurrence."""
+    """(doc_id, term, score, rank, n_k): the k best terms of each document by tf * (ln((N + 1) / (df + 1)) + 1), and how many the document has; ties by first occurrence."""
     scored = post.join(df, "term").withColumn("score", F.col("tf") * (F.log((n_docs + 1) / (F.col("df") + 1)) + 1))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "first_pos"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "term", "score", "rank")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "term", "score", "rank", F.least("n_terms", F.lit(k)).alias("n_k"))
 
 
 def prior_frequency(first_seen: DataFrame, slices: str = "day") -> DataFrame:

@@ -43,13 +43,14 @@ def bm25(post: DataFrame, idf: DataFrame, avgdl: Column, terms: DataFrame, k: in
 def overlap(keyword_terms: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, score): 0.7 |Q and K| / |Q| + 0.3 |Q and K| / |Q or K| over the token sets of query and document keywords.
 
-    An inverted join, so only pairs that share a token appear; the rest are 0.
+    ``keyword_terms``: (doc_id, term, n_k) with the document's number of
+    keyword tokens; ``terms``: distinct (qid, term).  An inverted join, so only
+    pairs that share a token appear; the rest are 0.
     """
-    doc_size = keyword_terms.groupBy("doc_id").agg(F.count("*").alias("n_k"))
     query_size = terms.groupBy("qid").agg(F.count("*").alias("n_q"))
-    both = keyword_terms.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
+    both = keyword_terms.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n"), F.max("n_k").alias("n_k"))
     score = 0.7 * F.col("n") / F.col("n_q") + 0.3 * F.col("n") / (F.col("n_q") + F.col("n_k") - F.col("n"))
-    return both.join(query_size, "qid").join(doc_size, "doc_id").select("qid", "doc_id", F.round(score, 9).alias("score"))
+    return both.join(query_size, "qid").select("qid", "doc_id", F.round(score, 9).alias("score"))
 
 
 def _best(score: str) -> Column:

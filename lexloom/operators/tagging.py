@@ -29,8 +29,8 @@ def tagging_terms(docs: DataFrame) -> DataFrame:
     ``docs``: (doc_id, text, title, genre); the title is the topic sentence.
     ``dl`` counts tokens before stop words go.  Ids must be distinct.
     """
-    base = docs.select(DOC, "genre", X.tagging_tokens(F.col("text")).alias("t"), X.tagging_tokens(F.col("title")).alias("topic"), stopwords(X.guess_language(F.col("text"))).alias("stop"))
-    placed = base.select(DOC, "genre", F.size("t").alias("dl"), "topic", "stop", F.posexplode("t").alias("p", "term")).where(~F.array_contains("stop", F.col("term")))
+    base = docs.select(DOC, "genre", X.tagging_tokens(F.col("text")).alias("t"), X.tagging_tokens(F.col("title")).alias("topic"), stopwords(X.guess_language(F.col("text"))).alias("stop")).withColumn("dl", F.size("t"))
+    placed = base.select(DOC, "genre", "dl", "topic", "stop", F.posexplode("t").alias("p", "term")).where(~F.array_contains("stop", F.col("term")))
     counted = placed.groupBy(DOC, "genre", "dl", "term").agg(F.count("*").alias("tf"), F.min("p").alias("first_pos"), F.first(F.array_contains("topic", F.col("term"))).alias("in_topic"))
     return counted
 

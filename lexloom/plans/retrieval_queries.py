@@ -24,7 +24,7 @@ def _tokens():
 
 
 def _post(spark, d):
-    return P.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", _tokens())
+    return P.postings(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", _tokens())
 
 
 def _questions(spark, d):
@@ -41,7 +41,8 @@ def _avgdl(spark, d):
 
 def _bm25(spark, d, k=1000):
     post = _post(spark, d)
-    idf = R.okapi_idf(P.document_frequency(post), _n_docs(spark, d))
+    df = P.document_frequency(post).persist()  # read twice; as small as the vocabulary
+    idf = R.okapi_idf(df, _n_docs(spark, d))
     return R.bm25(post, idf, _avgdl(spark, d), R.query_terms(_questions(spark, d), "qid", _tokens()), k)
 
 
@@ -51,7 +52,7 @@ def _keywords(spark, d, k=30):
 
 
 def _overlap(spark, d):
-    return R.overlap(_keywords(spark, d).select("doc_id", "term"), R.query_terms(_questions(spark, d), "qid", _tokens()).select("qid", "term"))
+    return R.overlap(_keywords(spark, d).select("doc_id", "term", "n_k"), R.query_terms(_questions(spark, d), "qid", _tokens()).select("qid", "term"))
 
 
 def _candidates(spark, d):

@@ -18,7 +18,7 @@ CATEGORIES = {"procedure": "절차", "report": "보고", "issue": "장애", "res
 
 
 def _docs(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "title", "text", "genre"))
+    return spread(table(spark, d, "documents").select("doc_id", "title", "text", "genre"), "doc_id")
 
 
 def _n(spark, d):
@@ -30,7 +30,7 @@ def _avgdl(spark, d):
 
 
 def _rake(spark, d, k=30):
-    return K.rake(spread(table(spark, d, "documents").select("doc_id", "text")), k=k)
+    return K.rake(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), k=k)
 
 
 def _tfidf_phrases(spark, d, k=30):

@@ -30,12 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, by ``keys`` where given.
 
     A table that comes in fewer partitions (a small file, one row group) would
     leave cores idle in work that is heavy per row; larger tables pass
-    through as they are.
+    through as they are.  With the key of the work that follows, its grouping
+    and windows need no further exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

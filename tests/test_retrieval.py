@@ -56,7 +56,7 @@ def test_bm25(base, spark):
 
 
 def test_overlap(spark):
-    kw = spark.createDataFrame([("d1", "a"), ("d1", "b"), ("d2", "c")], "doc_id string, term string")
+    kw = spark.createDataFrame([("d1", "a", 2), ("d1", "b", 2), ("d2", "c", 1)], "doc_id string, term string, n_k int")
     q = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", "z")], "qid string, term string")
     got = {r.doc_id: r.score for r in R.overlap(kw, q).collect()}
     assert got == pytest.approx({"d1": 0.7 / 3 + 0.3 / 4, "d2": 0.7 / 3 + 0.3 / 3})
