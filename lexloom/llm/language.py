@@ -10,6 +10,7 @@ context once, in all languages together.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,6 +127,14 @@ def fit_ppm(corpus: DataFrame, **bounds) -> PPM:
     return PPM(training_lines(corpus, **bounds))
 
 
+_STOP = re.compile(r"[.,!?;。，、！？；]")
+
+
+def odd_word(line: str) -> bool:
+    """Whether a line is a single short word or code and no sentence; such a line says nothing about the languages of its text."""
+    return len(line) <= 16 and len(line.split()) == 1 and not _STOP.search(line)
+
+
 def judge_lines(model: PPM, lines: list[str], junk_bits: float = 6.4) -> list[tuple[str, float, np.ndarray, int]]:
     """(language, confidence, bits by language, letters) of each line on its own; ``und`` where nothing is in a natural language."""
     texts = [plain(x) for x in lines]
@@ -146,30 +155,34 @@ def judge_lines(model: PPM, lines: list[str], junk_bits: float = 6.4) -> list[tu
     return out
 
 
-def judge_text(model: PPM, judged: list[tuple[str, float, np.ndarray, int]], sure_bits: float = 14.0) -> tuple[str, float, list[tuple[str, float]]]:
-    """Main language with confidence, and each line's language given the main one.
+def judge_text(model: PPM, judged: list[tuple[str, float, np.ndarray, int]], odd: list[bool], sure_bits: float = 14.0) -> tuple[str, float, list[tuple[str, float]], bool]:
+    """Main language with confidence, each line's language given the main one, and whether the lines are in more than one.
 
     The main language is that of most letters.  A line counts as another
     language only where that one codes it ``sure_bits`` shorter than the main
-    language, so names and odd words don't make a text mixed.
+    language, so names and odd words don't make a text mixed; lines that are
+    ``odd`` words count only where there is nothing else.
     """
     weight: dict[str, float] = {}
-    wide = {"ko", "ja", "zh"}
-    for lang, _, _, letters in judged:
-        if lang != "und":
-            weight[lang] = weight.get(lang, 0) + letters * (2.2 if lang in wide else 1)
+    for full in (False, True):
+        for (lang, _, _, letters), o in zip(judged, odd):
+            if lang != "und" and (full or not o):
+                weight[lang] = weight.get(lang, 0) + letters
+        if weight:
+            break
     if not weight:
-        return "und", 1.0, [("und", 1.0)] * len(judged)
+        return "und", 1.0, [("und", 1.0)] * len(judged), False
     main = max(weight, key=lambda x: (weight[x], x))
     k = model.langs.index(main)
-    lines, sure = [], 0.0
-    for lang, conf, bits, letters in judged:
+    lines, sure, seen = [], 0.0, set()
+    for (lang, conf, bits, letters), o in zip(judged, odd):
         if lang not in ("und", main) and bits[k] - bits.min() < sure_bits:
             lang, conf = main, 1 - conf
         lines.append((lang, conf))
-        sure += conf * letters * (2.2 if lang in wide else 1) * (lang == main)
-    everything = sum(weight.values())
-    return main, min(1.0, sure / everything), lines
+        if lang != "und" and not o:
+            seen.add(lang)
+            sure += conf * letters * (lang == main)
+    return main, min(1.0, sure / sum(weight.values())) if seen else 1.0, lines, len(seen) > 1
 
 
 def detect_languages(corpus: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", label_col: str = "lang_label", order_col: str = "ingested_at") -> DataFrame:
@@ -210,10 +223,10 @@ def detect_languages(corpus: DataFrame, model: PPM, id_col: str = "doc_id", text
                     out[c].append(v)
 
             for r, (at, n, titled) in enumerate(span):
-                main, conf, by_line = judge_text(ppm, judged[at : at + n])
+                main, conf, by_line, is_mixed = judge_text(ppm, judged[at : at + n], [odd_word(x.strip()) for _, x in lines[at : at + n]])
                 if labels[r] != main:
                     put(r, -1, main, conf)
-                if not titled and len({x for x, _ in by_line if x != "und"}) > 1:
+                if is_mixed and not titled:
                     for (no, _), (lang, c) in zip(lines[at : at + n], by_line):
                         put(r, no, lang, c)
             if rows:

@@ -107,8 +107,19 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
+_OVERSIZED_SQL = r"""
+WITH latest AS (
+    SELECT chunk_id, max(struct_pack(ingested_at := ingested_at, text := text, section_path := section_path)).text AS text FROM chunks WHERE length(text) > 1024 GROUP BY 1
+), units AS (
+    SELECT chunk_id, string_split(regexp_replace(regexp_replace(text, '(\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}])', '\1' || chr(1), 'g'), '([.!?。]\s)', '\1' || chr(1), 'g'), chr(1)) AS u FROM latest
+)
+SELECT chunk_id, CASE WHEN list_max(list_transform(u, lambda x: length(x))) > 1024 - 120 THEN 'forced' ELSE 'natural' END AS cut_kind FROM units
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _OVERSIZED_SQL,
         "p3_found": _TERM_SQL + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p3_terms": _TERM_SQL + "SELECT * FROM marked",
     }

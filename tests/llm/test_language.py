@@ -78,7 +78,7 @@ def test_labels(spark):
 
 
 def test_table(spark, model):
-    mixed = HELD_OUT["ko"] + "\r\n\n" + HELD_OUT["de"] + "\n" + HELD_OUT["ko"]
+    mixed = HELD_OUT["ko"] + "\r\n\n" + HELD_OUT["de"] + "\n" + (HELD_OUT["ko"] + " ") * 3 + "\n#단어"
     rows = [
         ("right", HELD_OUT["en"], None, "en-US", 1),
         ("wrong", HELD_OUT["en"], "x", "ko", 1),
@@ -88,12 +88,13 @@ def test_table(spark, model):
         ("mixed", mixed, None, "ko", 1),
         ("codes", "0x11 0x22", None, "auto", 1),
         ("empty", None, None, "en", None),
+        ("odd", HELD_OUT["en"] + "\n#색인승인", None, "en", 1),
         ("name", "Bikromrul의 경우 관리자는 /srv/a.xml 파일을 먼저 확인해야 합니다.\n" + HELD_OUT["ko"], None, "ko", 1),
         (None, "x", None, None, 1),
         ("long", (HELD_OUT["en"] + " ") * 20_000, None, "de", 1),
     ]
     df = spark.createDataFrame(rows, "doc_id string, text string, title string, lang_label string, ingested_at int")
     got = sorted((r.doc_id, r.line_no, r.lang) for r in language.detect_languages(df, model).collect())
-    assert got == [("codes", -1, "und"), ("empty", -1, "und"), ("long", -1, "en"), ("missing", -1, "ja"), ("mixed", 0, "ko"), ("mixed", 2, "de"), ("mixed", 3, "ko"), ("title", -1, "fr"), ("wrong", -1, "en")]
+    assert got == [("codes", -1, "und"), ("empty", -1, "und"), ("long", -1, "en"), ("missing", -1, "ja"), ("mixed", 0, "ko"), ("mixed", 2, "de"), ("mixed", 3, "ko"), ("mixed", 4, "ko"), ("title", -1, "fr"), ("wrong", -1, "en")]
     assert language.detect_languages(df.limit(0), model).count() == 0
     assert language.fit_ppm(df.limit(0)).score(["abc"])[0].shape == (1, 8)
