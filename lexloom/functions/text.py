@@ -157,3 +157,16 @@ def jaccard(a: Column, b: Column) -> Column:
     """Size of the intersection over that of the union of two arrays; 0 where both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def loose_position(sentence: Column, phrase: Column) -> Column:
+    """0-based place of a phrase in a sentence that has all of its words, in any order and case; -1 elsewhere."""
+    low = F.lower(sentence)
+    words = F.filter(F.split(F.lower(phrase), r"\s+"), lambda w: w != "")
+    there = F.forall(words, lambda w: low.contains(w)) & (F.size(words) > 0)
+    return F.when(there, F.array_min(F.transform(words, lambda w: F.instr(low, w))) - 1).otherwise(-1)
+
+
+def over_best(score: Column, best: Column) -> Column:
+    """Score over the best one; unchanged where the best is not positive."""
+    return F.when(best > 0, score / best).otherwise(score)

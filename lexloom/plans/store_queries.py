@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 from lexloom.operators import analytics as A
 from lexloom.operators import chunking as H
+from lexloom.operators import images as M
 from lexloom.operators import postings as P
 from lexloom.operators import search as S
 from lexloom.operators import store as ST
@@ -189,7 +190,18 @@ def evidence_hits(spark, d):
     return _quoted(spark, d).where("quoted").select("chunk_id", "doc_id", F.expr("instr(lower(text), lower(substring(title, 1, 12))) - 1").alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (tag_index, document_index, stage1_filter, two_stage_search, legacy_search, topic_search, feedback_boost, entity_latest, entity_timeline, linked_artifacts, incremental_new_docs, deleted_states, gap_queue, pending_questions, chunk_policy, chunks_made, evidence_hits, chunk_report, chunk_histogram, rag_export, report_markdown, front_matter, genre_dashboard, topic_groups, confidence_buckets, algorithm_usage, tags_per_genre)}
+def item_counters(spark, d):
+    """Chunks of every document, those without a genre and those without text."""
+    return M.counters(_distinct_chunks(spark, d), "doc_id", F.col("genre").isNotNull(), F.length(F.trim("text")) > 0)
+
+
+def item_tags(spark, d):
+    """Distinct sections of every document as tags."""
+    tags = M.tag_union(table(spark, d, "chunks"), "doc_id", F.col("section_path"))
+    return tags.select("doc_id", F.array_join("tags", "|").alias("tags"))
+
+
+QUERIES = {f.__name__: f for f in (tag_index, document_index, stage1_filter, two_stage_search, legacy_search, topic_search, feedback_boost, entity_latest, entity_timeline, linked_artifacts, incremental_new_docs, deleted_states, gap_queue, pending_questions, chunk_policy, chunks_made, evidence_hits, chunk_report, chunk_histogram, rag_export, report_markdown, front_matter, genre_dashboard, topic_groups, confidence_buckets, algorithm_usage, tags_per_genre, item_counters, item_tags)}
 
 _TAGS = Q._RAKE + Q._TERMS + ", tg AS (SELECT doc_id, term AS tag, score, in_topic AS from_topic, rank FROM (" + Q._tags_sql(Q._TF + " * weight" + Q._TOPIC, 12) + "))"
 _INDEX = _TAGS + ", ti AS (SELECT lower(tag) AS tag, doc_id, max(score) AS tag_score, max(from_topic) AS from_topic FROM tg GROUP BY 1, 2), tl AS (SELECT doc_id, list(tag ORDER BY rank) AS tags FROM tg GROUP BY 1), di AS (SELECT doc_id, title, genre, title AS topic, text, coalesce(tags, []) AS tags FROM documents LEFT JOIN tl USING (doc_id))"
@@ -273,5 +285,7 @@ ORACLE = {
     "topic_groups": f"SELECT left({_TRIM.format('title')}, 50) AS topic, count(*) AS n FROM documents WHERE length({_TRIM.format('title')}) > 0 GROUP BY 1 ORDER BY n DESC, topic LIMIT 10",
     "confidence_buckets": Q._CONSENSUS + "SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'mid' ELSE 'low' END AS bucket, count(*) AS n, sum(fallback::INT)::BIGINT AS n_fallback FROM cons GROUP BY 1",
     "algorithm_usage": Q._RAKE + Q._MERGE + "SELECT 'rake' AS algorithm, count(rake) AS n FROM merged UNION ALL SELECT 'freq', count(freq) FROM merged",
+    "item_counters": f"WITH {_CHUNKS} SELECT doc_id, count(*) AS total, sum((genre IS NULL)::INT)::BIGINT AS unlabeled, sum((NOT coalesce(length(trim(text)) > 0, false))::INT)::BIGINT AS missing FROM ch GROUP BY 1",
+    "item_tags": r"WITH t AS (SELECT DISTINCT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(section_path, '^\s+|\s+$', '', 'g'), '^#', ''), '\s+', '_', 'g')) AS t FROM chunks) SELECT doc_id, string_agg(t, '|' ORDER BY t) AS tags FROM t WHERE t <> '' GROUP BY 1",
     "tags_per_genre": _TAGS + ", g AS (SELECT doc_id, count(*) AS n, sum(score) AS s FROM tg GROUP BY 1) SELECT coalesce(genre, 'none') AS genre, count(*) AS n_docs, sum(n)::BIGINT AS n_tags, round(sum(s) / sum(n), 9) AS mean_score FROM g JOIN documents USING (doc_id) GROUP BY 1",
 }
