@@ -155,7 +155,7 @@ def report_markdown(spark, d):
 
 def front_matter(spark, d):
     """Every document as Markdown with front matter."""
-    return table(spark, d, "documents").select("doc_id", A.front_matter({"title": F.col("title"), "genre": F.col("genre"), "chars": F.col("n_chars")}, A.cut(F.col("text"))).alias("markdown"))
+    return table(spark, d, "documents").select("doc_id", A.front_matter({"title": F.col("title"), "genre": F.col("genre"), "chars": F.col("n_chars")}, F.col("text")).alias("markdown"))
 
 
 def genre_dashboard(spark, d):

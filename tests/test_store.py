@@ -9,6 +9,7 @@ from lexloom.operators import analytics as A
 from lexloom.operators import chunking as H
 from lexloom.operators import search as S
 from lexloom.operators import store as ST
+from lexloom.plans import store_queries as SQ
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +123,10 @@ def test_analytics(spark):
     assert A.rag_rows(one).first().chunk_key == "d__c0003" and A.rag_rows(one).first().body == "[title: T | genre: -]\n"
     md = one.select(A.markdown({"A": F.col("title"), "B": F.col("text")}), A.front_matter({"t": F.col("title"), "g": F.col("genre")}, F.col("text")), A.cut(F.repeat(F.col("title"), 300))).first()
     assert md[0] == "## A\nT\n## B\n-" and md[1] == "---\nt: T\ng: \n---\n\n" and len(md[2]) == 204
+
+
+def test_front_matter_keeps_the_whole_text(spark, tmp_path):
+    text = "word " * 5000 + "end"
+    spark.createDataFrame([(1, "T", "g", len(text), text), (2, None, None, None, None)], "doc_id int, title string, genre string, n_chars int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.markdown for r in SQ.front_matter(spark, str(tmp_path)).collect()}
+    assert got == {1: f"---\ntitle: T\ngenre: g\nchars: {len(text)}\n---\n\n{text}", 2: "---\ntitle: \ngenre: \nchars: \n---\n\n"}
