@@ -150,7 +150,7 @@ def rag_export(spark, d):
 def report_markdown(spark, d):
     """Every entry of the question log as a short report."""
     log = P.latest(table(spark, d, "qna_log").select("entry_id", "logged_at", "question", "portal_answer_snippet", "analysis_summary"), "entry_id", "logged_at")
-    return log.select("entry_id", A.markdown({"Question": F.col("question"), "Answer": A.cut(F.col("portal_answer_snippet"), 80), "Analysis": F.col("analysis_summary")}).alias("report"))
+    return log.select("entry_id", A.markdown({"Question": F.col("question"), "Answer": F.col("portal_answer_snippet"), "Analysis": F.col("analysis_summary")}).alias("report"))
 
 
 def front_matter(spark, d):

@@ -130,3 +130,10 @@ def test_front_matter_keeps_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, "T", "g", len(text), text), (2, None, None, None, None)], "doc_id int, title string, genre string, n_chars int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.markdown for r in SQ.front_matter(spark, str(tmp_path)).collect()}
     assert got == {1: f"---\ntitle: T\ngenre: g\nchars: {len(text)}\n---\n\n{text}", 2: "---\ntitle: \ngenre: \nchars: \n---\n\n"}
+
+
+def test_report_keeps_the_whole_answer(spark, tmp_path):
+    answer = "answer " * 100 + "end"
+    spark.createDataFrame([(1, 1, "old?", "old", None), (1, 2, "why?", answer, "so"), (2, 1, None, None, None)], "entry_id int, logged_at int, question string, portal_answer_snippet string, analysis_summary string").write.parquet(f"{tmp_path}/qna_log.parquet")
+    got = {r.entry_id: r.report for r in SQ.report_markdown(spark, str(tmp_path)).collect()}
+    assert got == {1: f"## Question\nwhy?\n## Answer\n{answer}\n## Analysis\nso", 2: "## Question\n-\n## Answer\n-\n## Analysis\n-"}
