@@ -127,13 +127,13 @@ def _similar(a: str, b: str, of_a: Counter, of_b: Counter, most: float) -> bool:
     return 1 - row[-1] / longer > most
 
 
-def yake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 30, max_chars: int = 4000) -> DataFrame:
-    """(doc_id, phrase, score, rank): YAKE keywords of the first ``max_chars`` characters, as the method prescribes.
+def yake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 30) -> DataFrame:
+    """(doc_id, phrase, score, rank): YAKE keywords of the whole text.
 
     One pass without a shuffle, as a document's keywords depend on it alone;
     documents without candidates have no row.
     """
-    src = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("_id"), F.substring(text, 1, max_chars).alias("_t"))
+    src = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

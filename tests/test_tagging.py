@@ -26,6 +26,13 @@ def test_yake(spark):
     assert {r.doc_id for r in K.yake(df).collect()} == {1}
 
 
+def test_yake_reads_the_whole_text(spark):
+    late = "of the and " * 1000 + ". Kafka cluster restarted."
+    df = spark.createDataFrame([(1, late)], "doc_id int, text string")
+    got = [(r.phrase, r.score) for r in K.yake(df).orderBy("rank").collect()]
+    assert got == [(p, round(s, 6)) for p, s in K.yake_terms(late)] and "kafka cluster restarted" in {p for p, _ in got}
+
+
 def test_combination(spark):
     a = spark.createDataFrame([(1, ["X y", "b"]), (2, ["q"])], "doc_id int, kw array<string>")
     b = spark.createDataFrame([(1, ["x Y ", "c", "d"])], "doc_id int, kw array<string>")
