@@ -26,13 +26,13 @@ def rake_phrases(text: Column, max_words: int = 3, min_chars: int = 2) -> Column
     return F.filter(runs, lambda p: (F.length(p) >= min_chars) & (F.size(F.split(p, " ")) <= max_words))
 
 
-def rake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 30, max_words: int = 3, max_chars: int = 50_000) -> DataFrame:
+def rake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 30, max_words: int = 3, max_chars: int | None = 50_000) -> DataFrame:
     """(doc_id, phrase, score, rank): RAKE keywords; a word scores its degree over its frequency, a phrase the sum of its words, divided by the document's best.
 
-    Texts over ``max_chars`` are skipped, as the method prescribes; ties by
+    Texts over ``max_chars`` are skipped, none where it is None; ties by
     phrase.  Ids must be distinct: all grouping is by document.
     """
-    src = docs.where(F.length(text) <= max_chars).select(F.col(doc_id).alias("doc_id"), rake_phrases(F.col(text), max_words).alias("p"))
+    src = (docs if max_chars is None else docs.where(F.length(text) <= max_chars)).select(F.col(doc_id).alias("doc_id"), rake_phrases(F.col(text), max_words).alias("p"))
     phrases = src.select("doc_id", F.explode("p").alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
     words = phrases.withColumn("w", F.split("phrase", " "))
     scores = words.select("doc_id", "n", F.size("w").alias("m"), F.explode("w").alias("word")).groupBy("doc_id", "word").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("ws"))

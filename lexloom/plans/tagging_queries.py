@@ -30,7 +30,7 @@ def _avgdl(spark, d):
 
 
 def _rake(spark, d, k=30):
-    return K.rake(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), k=k)
+    return K.rake(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), k=k, max_chars=None)
 
 
 def _tfidf_phrases(spark, d, k=30):

@@ -7,6 +7,7 @@ from lexloom.functions.constants import GENRE_RULES, GENRE_RULES_LIGHT
 from lexloom.operators import classify as C
 from lexloom.operators import keywords as K
 from lexloom.operators import tagging as T
+from lexloom.plans import tagging_queries as TQ
 
 
 def test_rake(spark):
@@ -17,6 +18,13 @@ def test_rake(spark):
     assert {r.phrase for r in got} == {"deep learning", "neural nets", "deep learning models"}
 
 
+def test_rake_query_takes_long_texts(spark, tmp_path):
+    text = "the of and " * 5000 + ". Kafka cluster restarted."
+    spark.createDataFrame([(1, text), (2, None), (3, "short phrase")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.phrase) for r in TQ.rake_keywords(spark, str(tmp_path)).collect()}
+    assert len(text) > 50_000 and got == {(1, "kafka cluster restarted"), (3, "short phrase")}
+
+
 def test_yake(spark):
     text = "Kafka cluster restarted. The Kafka cluster was restarted by the operator after the broker failed. Broker logs show the reason."
     got = K.yake_terms(text)
