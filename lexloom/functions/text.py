@@ -100,11 +100,13 @@ def normalize_key(phrase: Column) -> Column:
     return trim_space(F.regexp_replace(F.translate(F.lower(p), "_", " "), r"\s+", " "))
 
 
-def clean_lines(text: Column, most: int = 12_000) -> Column:
-    """Trimmed lines without those of one character or of one to three digits, each line once, cut at ``most`` characters with a notice."""
+def clean_lines(text: Column, most: int | None = None) -> Column:
+    """Trimmed lines without those of one character or of one to three digits, each line once; cut at ``most`` characters with a notice where given."""
     lines = F.transform(F.split(text, r"\r\n|\r|\n"), trim_space)
     kept = F.array_distinct(F.filter(lines, lambda x: (F.length(x) > 1) & ~x.rlike("^[0-9]{1,3}$")))
     joined = F.array_join(kept, "\n")
+    if most is None:
+        return joined
     return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit("\n...(truncated)"))).otherwise(joined)
 
 

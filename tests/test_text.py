@@ -43,6 +43,11 @@ def test_lines_and_controls(spark):
     assert [x[0] for x in got] == ["a b c d e f g", "", ""]
 
 
+def test_lines_are_whole_without_a_bound(spark):
+    long = "\n".join(f"line number {i}" for i in range(2000))
+    assert len(long) > 12_000 and values(spark, [long, None], X.clean_lines(F.col("t"))) == [(long,), (None,)]
+
+
 def test_language_ascii_names(spark):
     got = values(spark, ["가 a", "abc", "12", None, ""], X.guess_language(F.col("t")), X.ascii_ratio(F.col("t")))
     assert got == [("ko", 2 / 3), ("en", 1.0), ("unknown", 1.0), ("unknown", None), ("unknown", 1.0)]
