@@ -150,7 +150,7 @@ def chains(item_pos: np.ndarray, doc_pos: np.ndarray, gap: int = 30, shift: int
     new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(i) > WINDOW)]))
     last = np.append(new[1:], len(i)) - 1
     runs = sorted(zip(i[new].tolist(), (i[last] + WINDOW).tolist(), d[new].tolist()), key=lambda r: (r[0] + r[2], r[0]))
-    out, open_chains = [], []
+    out, open_chains, crowded = [], [], 64
     for a, b, diag in runs:  # in the order of the document
         best = None
         for c in open_chains:
@@ -161,9 +161,11 @@ def chains(item_pos: np.ndarray, doc_pos: np.ndarray, gap: int = 30, shift: int
         else:
             best[2] += b - max(a, best[1])
             best[1], best[3] = b, diag
-        if len(open_chains) > 64:
-            out.extend(open_chains[:32])
-            open_chains = open_chains[32:]
+        if len(open_chains) >= crowded:  # those that no later run can reach any more are done
+            done = a + diag - gap - shift
+            out.extend(c for c in open_chains if c[1] + c[3] < done)
+            open_chains = [c for c in open_chains if c[1] + c[3] >= done]
+            crowded = max(64, 2 * len(open_chains))
     out.extend(open_chains)
     return [(a, b) for a, b, matched, _ in out if matched >= least and matched >= density * (b - a)]
 

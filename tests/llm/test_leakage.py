@@ -67,3 +67,10 @@ def test_notices_count_for_nothing(spark):
     items = spark.createDataFrame([(i, b + " " + NOTICE) for i, b in enumerate(bodies)], "item_id bigint, item_text string")
     docs = spark.createDataFrame([(1, "Something else. " + NOTICE), (2, " ".join(ITEM.split()[:25]) + " and more. " + NOTICE)], "doc_id bigint, text string")
     assert [(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items).collect()] == [(2, 0)]
+
+
+def test_a_growing_chain_stays_open_among_many():
+    stray = [(2000 + 100 * k, 1001 + k % 38) for k in range(70)]  # matches of other places, each on a diagonal of its own
+    grown = [(i, 1000 + i) for i in (*range(11), *range(40, 51))]
+    i, d = (np.array(x) for x in zip(*grown, *stray))
+    assert leakage.chains(i, d) == [(0, 70)]
