@@ -39,18 +39,12 @@ def _stream(lines: list[bytes]) -> np.ndarray:
 class PPM:
     """Frozen context trees of all languages, merged: per order the known (context, byte) pairs and contexts with their costs in bits."""
 
-    def __init__(self, lines: dict[str, list[str]], bytes_per_language: int = 160_000):
+    def __init__(self, lines: dict[str, list[str]]):
         self.langs = tuple(lines)
         n_langs = len(self.langs)
         counts = []  # per language and order: keys, counts
         for lang in self.langs:
-            held, kept = 0, []
-            for x in lines[lang]:
-                b = plain(x).encode()
-                if b and held < bytes_per_language:
-                    kept.append(b)
-                    held += len(b)
-            data = _stream(kept)
+            data = _stream([b for x in lines[lang] if (b := plain(x).encode())])
             inner = np.ones(len(data) - ORDER, bool)
             inner[data[ORDER:] == 10] = False  # the padding is context, not text
             counts.append([np.unique(_keys(data, k + 1)[inner], return_counts=True) for k in range(ORDER + 1)])

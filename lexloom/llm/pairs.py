@@ -69,11 +69,11 @@ _LOGGED = 200  # the logger cuts answers at so many characters and adds " ..."
 class NgramBayes:
     """Character n-gram naive Bayes over languages: one row of log-likelihoods per known n-gram (orders 1 to 3)."""
 
-    def __init__(self, lines: dict[str, list[str]], orders: int = 3, chars_per_language: int = 120_000):
+    def __init__(self, lines: dict[str, list[str]], orders: int = 3):
         self.langs, self.orders = tuple(lines), orders
         counts = []
         for lang in self.langs:
-            text = "\n".join(plain(x) for x in lines[lang])[:chars_per_language]
+            text = "\n".join(plain(x) for x in lines[lang])
             counts.append(Counter(g for line in text.split("\n") for g in self._grams(line)))
         grams = sorted({g for c in counts for g, n in c.items()})
         self.index = {g: i for i, g in enumerate(grams)}

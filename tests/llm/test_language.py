@@ -98,3 +98,9 @@ def test_table(spark, model):
     assert got == [("codes", -1, "und"), ("empty", -1, "und"), ("long", -1, "en"), ("missing", -1, "ja"), ("mixed", 0, "ko"), ("mixed", 2, "de"), ("mixed", 3, "ko"), ("mixed", 4, "ko"), ("title", -1, "fr"), ("wrong", -1, "en")]
     assert language.detect_languages(df.limit(0), model).count() == 0
     assert language.fit_ppm(df.limit(0)).score(["abc"])[0].shape == (1, 8)
+
+
+def test_all_lines_are_fitted():
+    lines = ["".join(chr(97 + i // 26 ** k % 26) for k in range(4)) + " word" for i in range(20_000)]
+    known = language.PPM({"en": [*lines, "öüö"], "de": ["öä"]}).score(["öüö"])[0][0, 0]
+    assert sum(map(len, lines)) > 160_000 and known < language.PPM({"en": lines, "de": ["öä"]}).score(["öüö"])[0][0, 0]

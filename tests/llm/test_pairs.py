@@ -68,3 +68,8 @@ def test_table(spark, judge):
     assert len(got) == len(dict(got)) and dict(got)[500] == "empty"
     assert {i: d for i, d in got if i < 400} == {i: d for i, (q, a, _) in enumerate(CASES) if (d := judge.verdict(q, a))}
     assert pairs.broken_pairs(df.limit(0), judge).count() == 0
+
+
+def test_all_lines_are_fitted():
+    model = pairs.NgramBayes({"en": ["some words"] * 15_000 + ["öüö"]})
+    assert len("some words") * 15_000 > 120_000 and "öüö" in model.index
