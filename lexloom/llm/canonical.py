@@ -111,6 +111,7 @@ class CanonicalTrie:
                 for order in {tuple(words), tuple(words[-1:] + words[:-1]), tuple(words[1:] + words[:1])}:
                     for path in product(*(sorted(self.forms[w]) for w in order)):
                         self._add(squeeze("".join(path)), i)
+        self.reach = max(map(len, self.exact), default=0) + distance_for(1 << 20)
 
     def _to_hangul(self, word: str, most: int = 8) -> list[str]:
         """Hangul spellings of a Latin word by the list's own syllables (the first ``most``)."""
@@ -212,9 +213,9 @@ class CanonicalTrie:
         value says something else: it holds a word of the list, or a name
         built of the list's syllables, that the entry has not.
         """
-        if not text or len(text) > 400:
+        if not text:
             return 0
-        forms = typed_forms(text)
+        forms = [f for f in typed_forms(text) if len(squeeze(f)) <= self.reach]  # a longer one is within the distance of no key
         forms += [x for f in forms for x in self.expanded(f)]
         for form in forms:
             hit = self.exact.get(squeeze(form))

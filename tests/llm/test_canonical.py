@@ -87,3 +87,9 @@ def test_table(spark):
     assert got == {"e1": (2, "name"), "e2": (4, "alias"), "e3": (0, None), "e4": (7, "name"), "e5": (0, None)}
     assert canonical.map_entities(entities.limit(0), canon).count() == 0
     assert {r.canon_id for r in canonical.map_entities(entities, canon.limit(0)).collect()} == {0}
+
+
+def test_padding_of_any_length_is_levelled():
+    for typed in ("Backup Manager" + " " * 600 + "v2.1", "Backup" + "​" * 600 + " Manager"):
+        assert TRIE.meaning(typed) == 6
+    assert TRIE.meaning("Backup Manager" + " word" * 1000) == 0
