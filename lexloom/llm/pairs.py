@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.langdata import LANGUAGES, plain, training_lines
-from lexloom.llm.quality import token_classes
+from lexloom.llm.wording import token_classes
 
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 

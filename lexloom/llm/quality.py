@@ -1,69 +1,59 @@
 """Problem 8: per-document quality statistics, and natural prose told from lists, tables and junk.
 
-Each line gives a distribution over token classes (common words, other words,
-numbers and codes, marks) and, where long enough, over letters.  They are
-compared with the prose profiles of the languages and with those of lists and
-junk by Jensen-Shannon divergence; counts of cells, entry marks and symbols
-stand beside it.  The characters of a document by the kind of their line form
-its structural distribution, and the nearest structural profile is its kind.
+A line is a distribution over classes of words and characters: function words
+of its language, other words, words that come again, numbers, codes, entry
+marks, symbols, lost and garbled characters, sentence stops, commas, cell
+separators, signs of relation and the line end.  The same distributions are
+measured over prose of each language and over the forms of lists, tables and
+junk (:mod:`lexloom.llm.structures`).  A line's Jensen-Shannon divergence to a
+structure is that to its nearest profile, and a document is of the structure
+to which its lines, weighted by length, are nearest in the mean.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Common words of each language.
-COMMON = {
-    "en": "the a an of to in and is are was were be been it its that this these those for on with as at by from or not but if no than then so which who what when where why how has have had will would can could may must should do does did there their they them he she his her we our us you your i my me one two all each every any some only also after before during until while because although into over under about between again more most other such very please still both",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war waren wird werden wurde wurden hat haben hatte mit von vom zu zum zur im in am an auf aus bei beim bis durch für über unter vor nach ohne um als wie wenn dass weil so auch nur noch schon sehr sich sie er es wir ihr man kein keine mehr dann dort hier was wer wo trotzdem jede jeder jedes muss sehen",
-    "fr": "le la les l un une des du de d et ou mais ne pas n est sont était étaient sera être a ont avait avec sans sur sous dans par pour en au aux ce cet cette ces que qu qui quoi dont où il elle ils elles on nous vous je se sa son ses leur leurs plus moins très aussi après avant pendant jusqu si comme quand parce tout toute tous chaque aussi toujours faut y voir suffit",
-    "es": "el la los las lo un una unos unas y o pero no es son era eran fue fueron ser está están ha han había con sin sobre en por para de del al a que qué quien cual cuando donde como se su sus le les me te nos más menos muy también ya si porque todo toda todos cada este esta estos estas ese esa después antes durante hasta según sigue ahí tiene basta necesita",
-    "pt": "o a os as um uma uns umas e ou mas não é são era eram foi foram ser está estão há havia com sem sobre em no na nos nas por para pelo pela de do da dos das ao à que quem qual quando onde como se seu sua seus suas mais menos muito também já porque todo toda todos cada este esta esse essa depois antes durante até segundo basta precisa pode tem ainda assim",
-}
-# Particles and endings that close a Korean word in running text, and function characters of Japanese and Chinese.
-KOREAN_END = ("은", "는", "을", "를", "에", "에서", "에게", "의", "와", "과", "로", "도", "만", "까지", "부터", "보다", "마다", "다", "요", "니다", "고", "면", "지만", "므로", "려면", "때", "뒤", "수", "것", "및", "한", "할", "된", "될", "있는", "없는", "하는", "되는", "이", "가")
-KOREAN_FREE = frozenset("및 그 이 저 것 수 때 뒤 후 등 또는 그리고 하지만 누가 모두 함께 다시 먼저 따로 더 자주 잘못 잠시 그대로 약 두 세 한 개가 없다 있다 경우 이유로 사실을 참고로 보통 현재 처음에는 예전".split())
-JAPANESE = frozenset("はがをにのでともへやかられてたですますいないする")
-CHINESE = frozenset("的了在是不我有和就要把被从也都与为对这那但所以因着过并且怎样请用到会已经没每个")
-_COMMON_SETS = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
-
-_EDGES = "\"'.,:;!?()[]{}<>«»“”„‘’…·。、，；：！？（）「」『』*_#`~"
-_APOSTROPHE = re.compile(r"['’\-]")
-_NUMBER = re.compile(r"\d[\d.,:/-]*")
-_HANGUL_TAIL = re.compile(r"[가-힣]+$")
-_CJK = re.compile(r"[぀-ヿ一-鿿]")
-_JAMO = re.compile(r"[ㄱ-ㅣ]")
-_KANA = re.compile(r"[぀-ヿ]")
-_HANGUL = re.compile(r"[가-힣]")
+from lexloom.llm.seeds import SEED
+from lexloom.llm.structures import STRUCTURES, structural_samples
+from lexloom.llm.wording import CJK, EDGES, HANGUL, NUMBER, best_language, east_asian, token_class
+
+CLASSES = ("function", "word", "again", "number", "code", "mark", "symbol", "lost", "garbled", "stop", "comma", "separator", "relation", "end")
+FUNCTION, WORD, AGAIN, NUMERIC, CODE, MARK, SYMBOL, LOST, GARBLED, STOP, COMMA, SEPARATOR, RELATION, END = range(len(CLASSES))
+LINE_END = 1.5  # units of a line end beside one unit a word
+LINE_CHARS = 8  # what a line weighs beside its characters
+
 _END = re.compile(r"[.!?。！？…:;][\"'”’)\]」』]*$")
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _RULER = re.compile(r"^[\s|+\-=:─━┼┬┴├┤│┌┐└┘═╪╬]+$")
-_HTML_ROW = re.compile(r"</?t[rdh][ >/]|</?table", re.I)
-_MARK = re.compile(r"^(?:(?:[-*•▶·‣◦○●■□◆▪–—]|\[[ xXvV]?\]|[☐☑☒✓✔]|\(?\d{1,3}[.)]|\[\d{1,3}\]|\(?[a-zA-Z가-힣][.)]|[①-⑳])\s+|\d+(?:\.\d+)+\.?\s(?=[^\W\d_]))")
-_LEADER = re.compile(r"\.{4,}\s*\d*$|…{2,}\s*\d*$")
-_PAIR = re.compile(r"^\S(?:.{0,38}?\S)?\s*(?:[=→⇒]|->|=>|:\s|\s[-–—]\s)\s*\S.{0,60}$")
+_ENTRY = re.compile(r"^(?:(?:[-*•▶·‣◦○●■□◆▪–—]|\[[ xXvV]?\]|[☐☑☒✓✔]|\(?\d{1,3}[.)]|\[\d{1,3}\]|\(?[a-zA-Z가-힣][.)]|[①-⑳])\s+|\d+(?:\.\d+)+\.?\s(?=[^\W\d_]))")
 _PATH = re.compile(r"^(?:[A-Za-z]:)?[/\\]\S+$|^\S+[/\\]\S+[/\\]\S*$|^https?://\S+$")
-_SEPARATORS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), ("│", re.compile(r"\s*│\s*")), (";", re.compile(r"\s*;\s*")), ("--", re.compile(r"(?:^|\s+)--(?:\s+|$)")), ("  ", re.compile(r"\s{2,}")), (",", re.compile(r",")))
 _INLINE_TAG = re.compile(r"</?(?!t[rdh][ >/]|table|thead|tbody)[a-zA-Z][^<>\n]{0,100}>")
-_GAP = re.compile(r"\S\s{2,}\S|^\s{3,}\S")
-_INLINE = re.compile(r"\s*[;|·•]\s+|\s#|,\s+|\s[/›»]\s")
-
-#: Shares of (common words, other words, numbers and codes, marks) in prose of each language, and in lists and junk.
-PROSE = {"en": (0.42, 0.48, 0.05, 0.05), "de": (0.40, 0.50, 0.05, 0.05), "fr": (0.44, 0.46, 0.05, 0.05), "es": (0.44, 0.46, 0.05, 0.05), "pt": (0.42, 0.48, 0.05, 0.05), "ko": (0.62, 0.28, 0.06, 0.04), "ja": (0.40, 0.50, 0.05, 0.05), "zh": (0.20, 0.70, 0.05, 0.05)}
-ENTRY = (0.04, 0.72, 0.12, 0.12)
-#: Letter frequencies (per mille) of running Latin text, mean of the five languages.
-LATIN = dict(zip("abcdefghijklmnopqrstuvwxyz", (93, 14, 34, 44, 145, 12, 17, 25, 72, 3, 4, 46, 28, 75, 72, 26, 7, 68, 73, 72, 38, 12, 8, 3, 9, 4)))
-STRUCTURES = ("prose", "list", "table", "junk")
-#: Structural profiles: share of characters on lines of each kind.
-PROFILES = {"prose": (0.94, 0.02, 0.02, 0.02), "list": (0.02, 0.94, 0.02, 0.02), "table": (0.02, 0.02, 0.94, 0.02), "junk": (0.02, 0.02, 0.02, 0.94)}
+_SEPARATOR = re.compile(r"[|│\t]|;(?!\s*$)|(?<=\S)\s{2,}(?=\S)|,(?=\S)|\s--(?=\s)|</?t[rdh][ >/]|\s[/›»·•#](?=\s|\w)")
+_EMPTY_CELL = re.compile(r"^\s{3,}\S|^\t+|\t(?=\t)")
+_RELATION = re.compile(r"[=→⇒]|->|=>|:(?=\s)|\s[-–—](?=\s)|\.{4,}|…{2,}")
+_LOST = re.compile(r"\?{2,}|�+|[ㄱ-ㅣ]+")
+_STOP = re.compile(r"[.!?。！？](?=[\s\"'”’)\]」』]|$|[^\x00-\x7f])")
+_COMMA = re.compile(r"[,，、](?=\s|$|[^\x00-\x7f])|;\s*$")
+_THOUSAND = re.compile(r"(?<![\w.,])(\d{1,3}),(\d{3})(?![\w,]|\.\d)")
+_BYTE = re.compile(r"^[0-9a-fA-F]{2}$")
+_ODD = re.compile(r"(?<=\w)[{}|`^~§¬!;<>#&*=+$@](?=\w)|[{}`^~§¬|]{2}")
+_STRAY = re.compile(r"[{}|`^~§¬!;'<>#&*=+$@]")
+_INLINE_MARK = re.compile(r"\*\*|(?<=\w)\[\d{1,3}\]|&[a-z]{2,6};")
+_FULL_WIDTH = re.compile(r"[Ａ-ｚ]")
+_PIECES = re.compile(r"(?<=[。！？])|\s+")
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: Letter counts of running Latin text, from the seeds of the languages that are written so.
+LETTERS = tuple(sum(SEED[lang].lower().count(c) for lang in ("en", "de", "fr", "es", "pt")) for c in _LATIN)
 
 
 def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
@@ -79,194 +69,192 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return total / 2
 
 
-@lru_cache(maxsize=1 << 18)
-def _token(token: str) -> tuple[str, int]:
-    """Languages (space separated) in which a token is a common word, and its class: 1 word, 2 number or code, 3 mark; cached, as tokens recur."""
-    if len(token) == 1 and token.isupper() and token not in "AIO":  # a mark in a cell, no word
-        return "", 3
-    word = token.lower().strip(_EDGES)
-    if not word:
-        return "", 2 if any(map(str.isalnum, token)) else 3
-    if _HANGUL.search(word):
-        word = _HANGUL_TAIL.search(word)
-        tail = word[0] if word else ""
-        return ("ko", 1) if tail in KOREAN_FREE or (len(tail) > 1 and tail.endswith(KOREAN_END)) else ("", 1)
-    if not any(map(str.isalpha, word)) or (any(map(str.isdigit, word)) and not word.isalpha()):
-        return "", 2
-    parts = _APOSTROPHE.split(word)
-    return " ".join(lang for lang, words in _COMMON_SETS.items() if any(p in words for p in parts)), 1
-
-
-def token_classes(line: str) -> tuple[str, tuple[int, int, int, int]]:
-    """Best language of a line and its counts of common words, other words, numbers or codes, and marks."""
-    if _CJK.search(line):
-        cjk = _CJK.findall(line)
-        if len(cjk) * 2 > len(_HANGUL.findall(line)) * 2 + len(line) * 0.5:
-            lang, chars = ("ja", JAPANESE) if _KANA.search(line) else ("zh", CHINESE)
-            hits = sum(c in chars for c in cjk)
-            return lang, (hits, len(cjk) - hits, len(_NUMBER.findall(line)), 0)
-    of = [0, 0, 0, 0]
-    hits: dict[str, int] = {}
-    for langs, kind in map(_token, line.split()):
-        of[kind] += 1
-        if langs:
-            hits[langs] = hits.get(langs, 0) + 1
-    if not hits:
-        return "en", (0, of[1], of[2], of[3])
-    by: dict[str, int] = {}
-    for langs, n in hits.items():
-        for lang in langs.split():
-            by[lang] = by.get(lang, 0) + n
-    lang, common = max(by.items(), key=lambda x: (x[1], x[0]))
-    return lang, (common, of[1] - common, of[2], of[3])
-
-
-@lru_cache(maxsize=1 << 16)
-def prose_like(lang: str, counts: tuple[int, int, int, int]) -> bool:
-    """Whether token class counts are nearer to the language's prose profile than to that of entries."""
-    return counts[0] >= 2 and divergence(counts, PROSE[lang]) <= divergence(counts, ENTRY)
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(axis=-1)
+
+
+def divergences(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of counts to each profile."""
+    p = counts / counts.sum(axis=1, keepdims=True)
+    own = _entropy(p)
+    return np.stack([_entropy((p + q) / 2) - (own + _entropy(q)) / 2 for q in profiles], axis=1)
 
 
 def letters_off(line: str) -> bool:
     """Whether a line's Latin letters are spread as in no language; the bound allows for chance in short lines."""
     low = line.lower()
-    counts = [low.count(c) for c in LATIN]
+    counts = [low.count(c) for c in _LATIN]
     n = sum(counts)
-    return n >= 60 and n * 2 > len(low) - low.count(" ") and divergence(tuple(counts), tuple(LATIN.values())) > 0.05 + 5 / n
-
-
-def _garbled(line: str, counts: tuple[int, int, int, int]) -> bool:
-    """No readable content: symbols, lost characters, encoded data, hex, keyboard or random letters."""
-    dense = [c for c in line if not c.isspace()]
-    n = len(dense)
-    alnum = sum(c.isalnum() for c in dense)
-    if not alnum:
-        return n > 3
-    if n >= 12 and (line.count("?") + line.count("�")) > 0.3 * n:
-        return True
-    tokens = line.split()
-    if n >= 30 and alnum < 0.72 * n and counts[0] < 0.25 * max(1, len(tokens)):
-        inner = sum(1 for t in tokens if any(not c.isalnum() and c not in "-_'’./\\:,%" for c in t[1:-1]))
-        if inner > 0.25 * len(tokens) or alnum < 0.4 * n:
-            return True
-    if n >= 12 and sum("ㄱ" <= c <= "ㅣ" for c in dense) > 0.05 * n:
-        return True
-    if n >= 24 and sum(len(t) == 2 and all(c in "0123456789abcdefABCDEF" for c in t) for t in tokens) > 0.6 * len(tokens):
-        return True
-    longest = max(map(len, tokens))
-    if longest >= 40 and longest > 0.6 * n and not _PATH.match(line.strip()) and not _CJK.search(line) and not _HANGUL.search(line):
-        return True
-    common = counts[0] / max(1, sum(counts[:2]))
-    return n >= 60 and common < 0.12 and letters_off(line)
-
-
-def _cells(line: str) -> tuple[str, list[str]] | None:
-    """The separator and the cells of a line that looks like a table's row."""
-    for name, pattern in _SEPARATORS:
-        if name.strip() in line if name.strip() else True:
-            body = line.strip("|│ ") if name in "|│" else line.strip()
-            cells = pattern.split(body)
-            if name == "," and (", " in line or len(cells) < 3):
-                continue
-            if len(cells) >= 3 and sum(map(len, cells)) <= 28 * len(cells) or (name in "\t|│" and len(cells) == 2 and max(map(len, cells)) <= 30):
-                return name, cells
-    return None
-
-
-def line_kind(line: str, known: tuple | None = None) -> tuple[str, str]:
-    """Kind of one non-blank line and the cell separator that it uses ('' for none); ``known``: its token classes, where already counted."""
-    if "<" in line and _HTML_ROW.search(line):
-        return "table", "<td>"
+    return n >= 60 and n * 2 > len(low) - low.count(" ") and divergence(tuple(counts), LETTERS) > 0.05 + 5 / n
+
+
+@lru_cache(maxsize=1 << 18)
+def _unit(token: str) -> tuple[str, int, float]:
+    """Languages in which a token is a function word, its class, and the units that it counts; cached, as tokens recur."""
+    if len(token) == 1 and token.isupper() and token not in "AIO":
+        return "", MARK, 1.0
+    word = token.lower().strip(EDGES)
+    symbols = "", SYMBOL, max(1.0, len(token) / 3)
+    if not word:
+        return ("", CODE, 1.0) if any(map(str.isalnum, token)) else symbols
+    korean = HANGUL.search(word)
+    if len(word) >= 40 and not korean and not CJK.search(word) and not _PATH.match(token):
+        return "", GARBLED, len(word) / 6
+    if _ODD.search(word):
+        return symbols
+    if not korean:
+        inner = sum(not c.isalnum() and c not in "-_'’./\\:,%" for c in token.strip(EDGES))
+        if inner >= 2 and inner * 3 >= sum(map(str.isalnum, token)):
+            return symbols
+    langs, kind = token_class(token)
+    if kind == 1:
+        return langs, WORD, 1.0
+    if kind == 2:
+        return "", CODE if any(map(str.isalpha, word)) else NUMERIC, 1.0
+    return symbols
+
+
+def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
+    """Units of each class in a line, and its common words among all its words.
+
+    ``again``: the share of repeated lines in the text where this line is a
+    repeat, else 0; that share of its words counts as coming again.  Within a
+    line a content word comes again with its second use, a function word where
+    the word before it is the same too.
+    """
+    v = [0.0] * len(CLASSES)
+    v[END] = LINE_END
     if _RULER.match(line):
-        return ("table", "ruler") if sum(c in "|+─━┼│═╪╬-" for c in line) > 0.7 * len(line.replace(" ", "")) and len(line.strip()) >= 3 else ("junk", "")
+        v[SEPARATOR] = 3.0
+        return v, 0, 0
     body = line.strip()
-    lang, counts = known or token_classes(body)
-    words = sum(counts[:3])
-    if _LEADER.search(body) and words <= 12:
-        return "list", ""
-    mark = _MARK.match(body)
-    rest = body[mark.end() :] if mark else body
-    if mark:
-        lang, counts = token_classes(rest)
-    near_prose = prose_like(lang, counts)
-    if near_prose and counts[0] * 4 >= sum(counts) and rest.count("?") < 4 and not _JAMO.search(rest):
-        return "prose", ""
-    if _garbled(rest, counts):
-        return "junk", ""
-    got = None if near_prose else _cells(rest)
-    if got:
-        return "table", got[0]
-    if len(_INLINE.split(rest)) >= 5 and not near_prose:
-        return "list", ""
-    if mark and (len(rest) <= 60 and not near_prose):
-        return "list", ""
-    if _PATH.match(rest) or (_PAIR.match(rest) and not near_prose and len(rest) <= 90):
-        return "list", ""
-    if len(rest) <= 40 and counts[0] == 0 and words <= (5 if lang not in ("ja", "zh") else 16) and not _END.search(rest):
-        return "list", "bare"
-    return "prose", ""
-
-
-def structure(text: str) -> tuple[Counter, dict[str, float]]:
-    """Characters of a text by kind of line, and counts over its lines."""
-    if "<" in text:
-        text = _INLINE_TAG.sub(" ", text)
-    lines = [ln for ln in _LINES.split(text) if ln and not ln.isspace()]
-    by: Counter = Counter()
-    classes = [token_classes(ln) for ln in lines]
-    kinds = [line_kind(ln, c) for ln, c in zip(lines, classes)]
-    if ("table", "  ") in kinds:  # beside a row of aligned cells, lines with a gap are rows with empty cells
-        kinds = [("table", "  ") if k == "list" and _GAP.search(ln) else (k, s) for ln, (k, s) in zip(lines, kinds)]
-    rows = sum(k == "table" and s != "ruler" for k, s in kinds)
-    for ln, (kind, _) in zip(lines, kinds):
-        if kind == "table" and rows < 2:  # one row is no table: its cells are entries
-            kind = "list"
-        by[kind] += len(ln.strip())
-    bare = sum(s == "bare" for _, s in kinds)
-    if bare and bare < 4 and by["prose"]:  # a heading or two in prose
-        moved = sum(len(ln.strip()) for ln, (_, s) in zip(lines, kinds) if s == "bare")
-        by["list"] -= moved
-        by["prose"] += moved
-    return by, {"lines": len(lines), "ended": sum(bool(_END.search(ln.rstrip())) for ln in lines), "common": sum(c[0] for _, c in classes), "tokens": sum(sum(c[:3]) for _, c in classes)}
-
-
-def repetitive(words: list[str], lines: list[str]) -> bool:
-    """The same few words or one line over and over."""
-    if len(words) >= 30:
-        kinds = len(set(words))
-        if kinds <= max(6, 0.12 * len(words)) and len(words) >= 3 * kinds and _runs(words) < 0.5:
-            return True
-    return len(lines) >= 5 and len(set(lines)) <= 0.25 * len(lines) and sum(map(len, lines)) >= 60
-
-
-def _runs(words: list[str]) -> float:
-    """Share of distinct windows of three words."""
-    grams = list(zip(words, words[1:], words[2:]))
-    return len(set(grams)) / max(1, len(grams))
-
-
-def describe(text: str | None) -> dict:
+    entry = _ENTRY.match(body)
+    if entry:
+        v[MARK] += 1
+        body = body[entry.end() :]
+    if "," in body:
+        body = _THOUSAND.sub(r"\1\2", body)
+    bare, found = _SEPARATOR.subn(" ", body)
+    v[SEPARATOR] = found + len(_EMPTY_CELL.findall(line))
+    bare, v[RELATION] = _RELATION.subn(" ", bare)
+    lang, ideographs, hits = east_asian(body)
+    if lang:
+        common, numbers = hits, len(NUMBER.findall(bare))
+        words = ideographs + numbers
+        v[FUNCTION], v[WORD], v[NUMERIC] = hits / 1.5, (ideographs - hits) / 2, numbers
+        v[SYMBOL] = len(_STRAY.findall(body)) / 1.5
+        pieces = [p for p in _PIECES.split(bare) if p]
+        again = max(again, 1 - len(set(pieces)) / max(1, len(pieces)))
+    else:
+        tokens, by, seen, before = bare.split(), {}, set(), ""
+        for token in tokens:
+            langs, kind, units = _unit(token)
+            if (before, token) in seen or (kind in (WORD, CODE) and not langs and token in seen):
+                v[AGAIN] += 1
+            else:
+                v[kind] += units
+                if langs:
+                    by[langs] = by.get(langs, 0) + 1
+                seen.add(token)
+            seen.add((before, token))
+            before = token
+        common = best_language(by)[1] if by else 0
+        words = int(v[WORD] + v[AGAIN] + v[NUMERIC] + v[CODE])
+        v[FUNCTION] = common
+        v[WORD] -= common
+        if len(body) >= 60 and common < 0.12 * (v[WORD] + v[AGAIN] + common) and letters_off(body):
+            v[GARBLED] += v[WORD]
+            v[WORD] = 0.0
+        pairs = sum(1 for t in tokens if len(t) == 2 and _BYTE.match(t)) if len(tokens) >= 8 else 0
+        if pairs >= 8:
+            v[GARBLED] += pairs
+            v[NUMERIC] = v[CODE] = 0.0
+    v[LOST] = sum(map(len, _LOST.findall(body))) / 2
+    v[STOP], v[COMMA] = len(_STOP.findall(body)), len(_COMMA.findall(body))
+    if again:
+        for kind in (WORD, FUNCTION):
+            v[AGAIN] += v[kind] * again
+            v[kind] *= 1 - again
+    return v, common, words
+
+
+class Profiles:
+    """Measured distributions of the forms of each structure."""
+
+    def __init__(self, seed: int = 5, per_form: int = 60, floor: float = 0.005):
+        samples = structural_samples(seed, per_form)
+        self.forms = tuple(samples)
+        rows = []
+        for (structure, _, form), lines in samples.items():
+            repeated = 0.95 if structure == "junk" and form.startswith("one ") else 0.0
+            counts = np.array([line_counts(x, repeated)[0] for x in lines])
+            rows.append((counts / counts.sum(axis=1, keepdims=True)).mean(axis=0))
+        self.table = np.array(rows) * (1 - floor) + floor / len(CLASSES)  # no class is impossible
+        self.of = tuple(np.array([i for i, f in enumerate(self.forms) if f[0] == s]) for s in STRUCTURES)
+
+    def nearest(self, counts: np.ndarray) -> np.ndarray:
+        """Divergence of each row of counts to the nearest profile of each structure."""
+        if not len(counts):
+            return np.zeros((0, len(STRUCTURES)))
+        distinct, where = np.unique(np.round(counts, 3), axis=0, return_inverse=True)
+        d = divergences(distinct, self.table)
+        return np.stack([d[:, of].min(axis=1) for of in self.of], axis=1)[where.reshape(-1)]
+
+
+@lru_cache(maxsize=1)
+def default_profiles() -> Profiles:
+    return Profiles()
+
+
+def _none() -> dict:
+    return {"n_words": 0, "mean_word_len": None, "symbol_share": None, "punct_line_share": None, "common_share": None, "divergence": None, "kind": None}
+
+
+def describe(text: str | None, profiles: Profiles | None = None) -> dict:
     """All statistics of a text: see :func:`document_quality`."""
-    if text is None or not text.strip():
-        return {"n_words": 0, "mean_word_len": None, "symbol_share": None, "punct_line_share": None, "common_share": None, "divergence": None, "kind": None}
-    tokens = text.split()
-    dense = sum(map(len, tokens))
-    symbols = dense - sum(map(str.isalnum, text))
-    by, lines = structure(text)
-    shares = tuple(by[k] for k in STRUCTURES)
-    near = {k: divergence(shares, PROFILES[k]) for k in STRUCTURES}
-    kind = min(STRUCTURES, key=lambda k: (near[k], STRUCTURES.index(k)))
-    if repetitive(tokens, [ln.strip() for ln in text.splitlines() if ln.strip()]) and kind != "table":
-        kind = "junk"
-    return {
-        "n_words": len(tokens),
-        "mean_word_len": dense / len(tokens),
-        "symbol_share": symbols / dense,
-        "punct_line_share": lines["ended"] / max(1, lines["lines"]),
-        "common_share": lines["common"] / max(1, lines["tokens"]),
-        "divergence": near[kind],
-        "kind": kind,
-    }
+    return describe_all([text], profiles or default_profiles())[0]
+
+
+def describe_all(texts: list[str | None], profiles: Profiles) -> list[dict]:
+    """The statistics of many texts; the lines of all of them are compared with the profiles together."""
+    out, counts, spans = [], [], []
+    for text in texts:
+        out.append(_none())
+        if text is None or not text.strip():
+            continue
+        tokens = text.split()
+        dense = sum(map(len, tokens))
+        plain = text if not _FULL_WIDTH.search(text) and unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFKC", text)
+        if "<" in plain:
+            plain = _INLINE_TAG.sub(" ", plain)
+        plain = _INLINE_MARK.sub("", plain)
+        lines = [ln for ln in _LINES.split(plain) if ln and not ln.isspace()]
+        bodies = [ln.strip() for ln in lines]
+        repeated, seen, common, words = 1 - len(set(bodies)) / max(1, len(bodies)), set(), 0, 0
+        first = len(counts)
+        for line, body in zip(lines, bodies):
+            v, c, w = line_counts(line, repeated if body in seen else 0.0)
+            seen.add(body)
+            counts.append(v)
+            common, words = common + c, words + w
+        spans.append((len(out) - 1, first, [len(b) + LINE_CHARS for b in bodies]))
+        out[-1] |= {
+            "n_words": len(tokens),
+            "mean_word_len": dense / len(tokens),
+            "symbol_share": (dense - sum(map(str.isalnum, text))) / dense,
+            "punct_line_share": sum(bool(_END.search(b)) for b in bodies) / max(1, len(bodies)),
+            "common_share": common / max(1, words),
+        }
+    near = profiles.nearest(np.array(counts).reshape(len(counts), len(CLASSES)))
+    table = STRUCTURES.index("table")
+    for row, first, weights in spans:
+        if weights:
+            own = near[first : first + len(weights)]
+            mean = np.average(own, axis=0, weights=weights)
+            if (own.argmin(axis=1) == table).sum() < 2:  # one row is no table: its cells are entries
+                mean[table] = 1.0
+            out[row] |= {"divergence": float(mean.min()), "kind": STRUCTURES[int(mean.argmin())]}
+    return out
 
 
 def document_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,17 +262,20 @@ def document_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs without white space; symbols are the characters that are
     neither letters, digits nor white space; common words are those of each
-    line's best language.  ``kind`` is prose, list, table or junk.  Null,
-    empty and blank texts have 0 words, null statistics and no kind.  Whole
-    texts are read in one pass over the scan, without a shuffle.
+    line's best language.  ``kind`` is prose, list, table or junk, the nearest
+    structure, and ``divergence`` the mean divergence to it.  Null, empty and
+    blank texts have 0 words, null statistics and no kind; a text of tags alone
+    has no kind.  Whole texts are read in one pass over the scan, without a
+    shuffle; the profiles (a few thousand numbers) go along with the tasks.
     """
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
+    profiles = default_profiles()
     cols = {"n_words": pa.int32(), "mean_word_len": pa.float64(), "symbol_share": pa.float64(), "punct_line_share": pa.float64(), "common_share": pa.float64(), "divergence": pa.float64(), "kind": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(t) for t in batch.column(1).to_pylist()]
+            rows = describe_all(batch.column(1).to_pylist(), profiles)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], t) for c, t in cols.items())], names=[id_col, *cols])
 
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_words int, mean_word_len double, symbol_share double, punct_line_share double, common_share double, divergence double, kind string")

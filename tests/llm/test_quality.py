@@ -3,7 +3,9 @@
 import random
 import string
 
-from lexloom.llm import quality
+import numpy as np
+
+from lexloom.llm import quality, structures
 
 PROSE = ["The server was restarted by the operator, and the log shows who did it. There was no reason to wait until the problem had been solved.", "관리자는 로그 파일을 먼저 확인하고 서버를 다시 시작했습니다. 오류가 발생하면 담당자에게 알려 주십시오.", "Der Bericht wurde von dem Leiter geprüft und danach an die Kollegen verschickt", "管理员已经检查了日志文件，但是还没有通知用户。", "この文書では、設定の方法を説明します。まずログを確認してください。", "the report was sent   to the office and\tthen it was   read by all of them", "Short note to the team."]
 LISTS = ["1. retention policy;\n2. missing index;\n3. test bench;\n4. mailbox;", "- 서버\n- 색인\n- 로그파일 교체\n- 대시보드", "1.1 schema ........ 3\n1.2 parser ............ 5\n1.3 index ........ 7\n2.1 queue ..... 9", "server=on\nmode: fast\npath=/srv/a/b\nlimit: 5", "[x] server\n[ ] queue\n[x] index\n[ ] mailbox", "/srv/a/run.pid\n/srv/b/data/pack\nD:\\X\\store_1", "recado\n\ncontrato\n\nprocesso\n\nusuário\n\nserviço", "체크섬; 인증서; 리스너; 방화벽; 감사기록 검토; 저장계층; 상담창구", "parser #archive #runbook #work order #backup #mailbox #console"]
@@ -48,3 +50,48 @@ def test_table(spark):
     assert len(got) == len(rows) and [k for _, k, _ in got] == ["junk", "", "", "", "prose", "prose", "list", got[-1][1]]
     assert [n for i, _, n in got if i in (1, 2, 3)] == [0, 0, 0]
     assert quality.document_quality(df.limit(0)).count() == 0
+
+
+def test_divergences_of_many_are_those_of_each():
+    rng = np.random.default_rng(3)
+    counts, profiles = rng.random((20, 5)) * (rng.random((20, 5)) < 0.7) + 1e-9, rng.random((4, 5))
+    got = quality.divergences(counts, profiles / profiles.sum(axis=1, keepdims=True))
+    for row, c in zip(got, counts):
+        assert np.allclose(row, [quality.divergence(tuple(c), tuple(p)) for p in profiles])
+
+
+def test_held_out_texts_of_each_form():
+    samples = structures.structural_samples(seed=99, n=12)
+    right = total = 0
+    for (structure, _, form), lines in samples.items():
+        if form in ("ruler", "part", "gaps", "leader") or form.startswith("one "):
+            continue
+        for at in range(0, 12, 6):
+            total += 1
+            right += kind("\n".join(lines[at : at + 6])) == structure
+    assert right >= 0.97 * total, (right, total)
+
+
+def test_profiles_decide():
+    texts = PROSE + LISTS + TABLES + JUNK
+    flat, swapped = quality.Profiles(), quality.Profiles()
+    flat.table = np.full_like(flat.table, 1 / len(quality.CLASSES))
+    swapped.of = (swapped.of[2], swapped.of[0], swapped.of[3], swapped.of[1])
+    real = [d["kind"] for d in quality.describe_all(texts, quality.default_profiles())]
+    for other in (flat, swapped):
+        kinds = [d["kind"] for d in quality.describe_all(texts, other)]
+        assert sum(a == b for a, b in zip(real, kinds)) <= 0.5 * len(texts)
+
+
+def test_repeats_lists_and_scrambled_texts():
+    assert kind("파서 색인 파서 색인 색인 파서 " * 12) == "junk" and kind("连接池 通知 通知 连接池 索引 通知 " * 12) == "junk"
+    assert kind("썸네일\n" * 30) == "junk" and kind("索引, 台账, 队列, 证书, 连接池, 通知, 附件, 清单") == "list"
+    assert kind("service\tqueue\tcontract\nKB-32096\tVH-40238\tY\nEZK-11404\tLS-52066\tY\nEDS-23360\tVLA-22792\t") == "table"
+    assert kind("이 절}서; ,부파일: !떻, 복사}었. ~서가 무엇. '았는지 설명^니,. 아무¬ 에이전트, ^l. 것l§ 예!;지 못¬,}") == "junk"
+
+
+def test_empty_and_odd_texts():
+    for text in (None, "", " \n\t", "<b></b>"):
+        assert quality.describe(text)["kind"] is None
+    assert kind("￿" * 50) is not None and kind("a" * 200_000) == "junk"
+    assert quality.describe_all([], quality.default_profiles()) == []
