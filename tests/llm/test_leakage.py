@@ -1,6 +1,9 @@
 """Problem 7: leaks in changed appearance, near misses, chains and slots."""
 
+import random
+
 import numpy as np
+import pytest
 
 from lexloom.llm import leakage
 
@@ -56,8 +59,10 @@ def test_table(spark):
     items = spark.createDataFrame([(100, ITEM + " " + NOTICE), (101, OTHER + " " + NOTICE), (102, KOREAN), (103, None), (104, "")], "item_id bigint, item_text string")
     got = sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(df, items).collect())
     assert got == [(1, 100), (2, 100), (3, 100), (4, 100), (5, 100), (10, 102), (11, 102)]
-    unfiltered = sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(df, items, filter_most=3).collect())
-    assert unfiltered == got
+    for bits in (16, 20):  # beyond the bound of the broadcast: prefix filter and salted shuffle join
+        shuffled = sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(df, items, broadcast_most=0, filter_bits=bits).collect())
+        assert shuffled == got
+    assert leakage.leaked_items(df, items.limit(0), broadcast_most=0, filter_bits=16).count() == 0
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
@@ -74,3 +79,75 @@ def test_a_growing_chain_stays_open_among_many():
     grown = [(i, 1000 + i) for i in (*range(11), *range(40, 51))]
     i, d = (np.array(x) for x in zip(*grown, *stray))
     assert leakage.chains(i, d) == [(0, 70)]
+
+
+def matches(item: str, text: str):
+    h, _, pos, slots, size = leakage.template_windows([item])
+    at: dict[int, list] = {}
+    for x, p, a in zip(h.tolist(), pos.tolist(), slots.tolist()):
+        at.setdefault(x, []).append((p, a))
+    H, _, P, S, _ = leakage.template_windows([text])
+    found = [(i, d, a, b) for x, d, b in zip(H.tolist(), P.tolist(), S.tolist()) for i, a in at.get(x, ())]
+    return (*np.array(found, np.int64).reshape(-1, 4).T, int(size[0]))
+
+
+def test_slots_agree_both_ways_and_by_kind():
+    number, name = lambda k: 4 * k + 1, lambda k: 4 * k + 3
+    array = lambda *x: np.array(x)
+    four = [number(k) for k in (1, 2, 3, 4)]
+    assert not leakage.slots_agree(array(*four), array(*[number(9)] * 4))  # different fillings that all became one
+    assert not leakage.slots_agree(array(*[number(9)] * 4), array(*four))  # one filling, now so and now so
+    assert not leakage.slots_agree(array(name(1), name(2), *[number(9)] * 4), array(name(5), name(6), *four))  # names don't hide it
+    assert leakage.slots_agree(array(*four), array(*[number(k) for k in (7, 8, 9, 10)]))
+    assert leakage.slots_agree(array(*[name(1)] * 3, name(2)), array(*[name(7)] * 3, name(8)))
+
+
+CASE = "In the first trial {0} mice from {1} were fed for {2} weeks, then {0} mice from {1} rested while the {3} keepers at {1} wrote down every weight, and after {4} more days {0} mice had come back to the cages"
+
+
+def test_kinds_of_slots():
+    values: list[int] = []
+    text = leakage.template("By then Hakmoming had 12 days. 한센딥 연구회의 조사는 30개월 걸렸다, 2 more", values)
+    n, u, m = leakage.NUMBER, leakage.UNIT, leakage.NAME
+    assert [c for c in text if c in n + u + m] == [m, n, u, m, n, u, n] and [v & 3 for v in values] == [3, 1, 2, 3, 1, 2, 1]
+
+
+def test_slot_consistency_decides(monkeypatch):
+    item = CASE.format(48, "Hakmoming", 6, 17, 9)
+    same, other = CASE.format(48, "Hakmoming", 6, 17, 9), CASE.format(31, "Belkokdip", 8, 22, 5)
+    mixed = other.replace("31", "33", 1).replace("31", "35", 1).replace("31", "37", 1)
+    one = CASE.format(7, "Belkokdip", 7, 7, 7)
+    share = lambda text: leakage.held_share(*matches(item, text))
+    assert share(same) == 1 and share(other) == 1  # the same, and the same with other parameters throughout
+    assert share(mixed) == 0 and share(one) == 0
+    part = " ".join(other.split()[: len(other.split()) * 3 // 5])
+    assert share(part) == 0 and share(part.replace("31", "48", 1)) > 0.5  # a part of the template alone is phrasing
+    monkeypatch.setattr(leakage, "slots_agree", lambda a, b: True)
+    assert share(mixed) > 0.9 and share(one) > 0.9
+
+
+def test_windows_that_many_items_share(spark):
+    family = [(i, CASE.format(i + 10, "Hakmoming", 6, 17, 9)) for i in range(12)]  # near copies: every window stands in more than eight items
+    docs = spark.createDataFrame([(1, "Before. " + family[3][1] + " After."), (2, "Nothing of the kind stands in this text, which is about other things.")], "doc_id bigint, text string")
+    items = spark.createDataFrame(family, "item_id bigint, item_text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items).collect()}
+    assert (1, 3) in got and {d for d, _ in got} == {1}
+    copies = spark.createDataFrame([(i, ITEM) for i in range(5)], "item_id bigint, item_text string")
+    found = leakage.leaked_items(spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string"), copies)
+    assert sorted(r.item_id for r in found.collect()) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("hangul", [False, True])
+def test_bound_on_generated_cases(hangul):
+    rng = random.Random(5)
+    word = lambda: "".join(chr(0xAC00 + rng.randrange(11172)) if hangul else rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    vocabulary = [word() for _ in range(2000)]
+    found = {0.28: 0, 0.5: 0}
+    for part in found:
+        for _ in range(60):
+            words = rng.choices(vocabulary, k=rng.randint(40, 110))
+            n = round(len(words) * part)
+            at = rng.randrange(len(words) - n + 1)
+            text = " ".join([*rng.choices(vocabulary, k=30), *words[at : at + n], *rng.choices(vocabulary, k=30)])
+            found[part] += leakage.held_share(*matches(" ".join(words), text)) >= 0.37
+    assert found[0.28] <= 1 and found[0.5] >= 59
