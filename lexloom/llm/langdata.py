@@ -28,7 +28,8 @@ _NAMES = {
 NAMELESS = "|und|unknown|unk|n/a|na|none|null|nan|auto|mul|mis|zxx|xx|other|?|-|--|undefined|unspecified|미상|알 수 없음|없음|기타"
 LABELS = {name: lang for lang, names in _NAMES.items() for name in names.split()}
 
-_CODE = re.compile(r"[!-~]*[0-9/\\_@=<>{}|#][!-~]*")
+_CODE_SIGNS = r"0-9/\\_@=<>{}|#"
+_CODE = re.compile(rf"(?<![!-~])(?:(?![{_CODE_SIGNS}])[!-~])*+[{_CODE_SIGNS}][!-~]*+")  # starts at the first of a run's characters only, so it is linear
 _SPACE = re.compile(r"\s+")
 
 
@@ -49,13 +50,22 @@ def training_lines(corpus: DataFrame, rows_per_language: int = 250, chars_per_ro
     """Lines per language from a bounded sample of labelled rows (by hash of the id), plus the seed sentences.
 
     At most ``rows_per_language`` rows of a language, ``chars_per_row``
-    characters of each, reach the driver; all rows stand for election.  Lines
+    characters of each, reach the driver; all rows stand for election: they
+    are counted by language, and only those with a hash below a share of that
+    count, a few times the wanted number, are sorted.  Lines
     that disagree with their label by script or common words are left out, as
     labels may be wrong and texts mixed.
     """
     labelled = corpus.select(label_language(F.col(label_col)).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 20))
+    many = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not many:
+        return {lang: SEED[lang].split(". ") for lang in LANGUAGES}
+    # so many times the wanted rows are below these hashes that the wanted ones are among them; next to nothing is left to sort
+    reach = {lang: min(1.0, (4 * rows_per_language + 100) / n) for lang, n in many.items()}
+    below = F.create_map(*[F.lit(x) for lang, share in reach.items() for x in (lang, min((1 << 63) - 1, int((share - 0.5) * 2**64)))])
+    few = labelled.where(F.col("h") <= below[F.col("lang")]).withColumn("text", F.substring("text", 1, chars_per_row))
     first = W.partitionBy("lang").orderBy("h", "text")
-    rows = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_per_language).select("lang", F.substring("text", 1, chars_per_row)).collect()
+    rows = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_per_language).select("lang", "text").collect()
     out = {lang: SEED[lang].split(". ") for lang in LANGUAGES}
     for lang, text in sorted(map(tuple, rows)):
         for line in text.split("\n"):

@@ -193,9 +193,7 @@ def detect_languages(corpus: DataFrame, model: PPM, id_col: str = "doc_id", text
     spark = corpus.sparkSession
     shared = spark.sparkContext.broadcast(model)
     best = F.max(F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("text"), F.col(title_col).alias("title"), label_language(F.col(label_col)).alias("label"))).alias("_best")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = corpus.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(best).select("_id", "_best.text", "_best.title", "_best.label")
-    records = records.repartition(parts)  # a fixed number, as the work lies in the scoring, not in the bytes; after the rows of an id were combined
     kind = records.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,7 @@ _DECLINE = re.compile(
     r"申し訳|お答えでき|見つかりませんでした|抱歉|对不起|无法(?:回答|提供|帮助)|没有找到|未找到"
 )
 _APOLOGY = re.compile(r"죄송|양해 부탁|안타깝게도|유감|이해 바랍|감사하지만|감사합니다만|\bsorry\b|unfortunately|\bafraid\b|apolog|regret|thanks? (?:you )?for asking|^leider|désolé|lo siento|desculpe|申し訳|抱歉")
+_COURTESY = re.compile(r"^(?:안녕하세요|안녕하십니까|반갑습니다|네|예|감사합니다|문의 ?(?:주셔서|해 ?주셔서)? ?감사|질문 ?감사|좋은 질문|잘 알겠습니다|hello|hi|dear|good (?:morning|afternoon|day|question)|thanks?|thank you|i (?:see|understand)|understood|that is|that's|great|sure|of course|let me (?:see|check|look)|one moment|please wait|hallo|danke|bonjour|merci|hola|gracias|olá|obrigad)")
 _NEGATION = re.compile(r"않|없|못|아닙|아니|어렵|불가|제한|거부|(?:n't|\bnot|\bno|\bnothing|\bnone|cannot|unable|decline|refuse|\bnever|outside|beyond|rules? out)\b|nicht|kein|\bpas\b|aucun|não|nenhum|ません|ない|不|无法|没有")
 _QUOTED = re.compile(r"(?<!\w)'[^'\n]{2,90}'(?![a-zA-Z])|\"[^\"\n]{2,90}\"|“[^”\n]{2,90}”|‘[^’\n]{2,90}’|「[^」\n]{2,90}」|『[^』\n]{2,90}』|`[^`\n]{2,90}`")
 # Wordings around a question that is only given back.
@@ -63,6 +64,11 @@ _FINAL = re.compile(r"[.!?。！？][\"'”’)\]」』]*$")
 _MARKER = re.compile(r"^\s*(?:\d{1,2}[.)]|\(\d{1,2}\)|[-*•])\s*$")
 _ITEM = re.compile(r"^\s*(?:\d{1,2}[.)]|\(\d{1,2}\)|[-*•])\s+\S")
 _ITEM_MARK = re.compile(r"^\s*(?:\d{1,2}[.)]|\(\d{1,2}\)|[-*•])\s+")
+_TOPIC = re.compile(r"[가-힣A-Za-z](?:은|는|을|를)(?= |$)")
+# Endings of Korean answers in the nominal style.
+_NOMINAL = re.compile(r"(?:다|요|음|됨|함|것|불필요|필요|가능|실행|없음|있음)$")
+MARK_ODDS = -9.0  # what each mark of an unfinished text takes from the log-odds that it is complete
+SHORT_ODDS = 4.0  # log-odds that an answer which is no sentence is complete
 _LOGGED = 200  # the logger cuts answers at so many characters and adds " ..."
 
 
@@ -96,43 +102,84 @@ class NgramBayes:
 
 
 class EndModel:
-    """Log-likelihood ratio of the last characters of a text: complete endings against endings cut at chance."""
+    """Log-likelihood ratio of how a text ends: complete endings against endings cut at chance, both taken from the sample's sentences.
+
+    An ending is its final stop, or the lack of one, and the last characters
+    before it.  How often a complete sentence lacks its stop is not read off
+    the sample, where lines are broken anywhere, but taken as ``careless`` and
+    updated by the other sentences of the same text.  The bound below which a
+    text breaks off is the one with fewest errors on sentences held out of the
+    counts.
+    """
 
     LONGEST = 6
 
-    def __init__(self, lines: dict[str, list[str]], seed: int = 7):
+    def __init__(self, lines: dict[str, list[str]], seed: int = 7, careless: float = 0.02, held_out: float = 0.2):
         rng = random.Random(seed)
-        whole, cut = Counter(), Counter()
+        self.careless = careless
+        whole, cut, stops = Counter(), Counter(), Counter()
         self.n_whole = self.n_cut = 0
+        tests: list[tuple[bool, str]] = []
         for lang in sorted(lines):
             for line in lines[lang]:
                 for s in _SENTENCE.split(line.strip()):
                     s = s.strip()
                     if len(s) < 12 or not _FINAL.search(s):
                         continue
-                    for end in (s, s.rstrip(".!?。")):
-                        self.n_whole += 1
-                        whole.update(self._ends(end))
-                    words = [i for i, c in enumerate(s) if c == " "] if " " in s else range(4, len(s) - 2)
-                    for _ in range(4):
-                        at = rng.choice(words) if words and rng.random() < 0.7 else rng.randrange(4, len(s) - 2)
+                    bare = _FINAL.sub("", s)
+                    words = [i for i, c in enumerate(bare) if c == " "] if " " in bare else range(4, len(bare) - 2)
+                    cuts = [s[: rng.choice(words) if words and rng.random() < 0.7 else rng.randrange(4, len(s) - 2)].rstrip() for _ in range(4)]
+                    if rng.random() < held_out:
+                        tests += [(True, s if rng.random() >= careless else bare), (False, cuts[0])]
+                        continue
+                    self.n_whole += 2
+                    whole.update(self._ends(bare) * 2)
+                    for c in cuts:
                         self.n_cut += 1
-                        cut.update(self._ends(s[:at].rstrip()))
+                        stops[bool(_FINAL.search(c))] += 1
+                        cut.update(self._ends(_FINAL.sub("", c)))
+        self.stop_cut = (stops[True] + 0.5) / (self.n_cut + 1)
         self.ratio = {g: (math.log((whole[g] + 0.5) / (self.n_whole + 1)) - math.log((cut[g] + 0.5) / (self.n_cut + 1)), whole[g] + cut[g]) for g in whole.keys() | cut.keys()}
+        self.bound, self.held_out_errors = self._fit_bound([(ok, self.log_odds(t)) for ok, t in tests])
+
+    @staticmethod
+    def _fit_bound(scored: list[tuple[bool, float]]) -> tuple[float, float]:
+        """Middle of the bounds with fewest errors, and the share of errors there."""
+        if not scored:
+            return 0.0, 0.0
+        scored = sorted(scored, key=lambda x: x[1])
+        errors = sum(not ok for ok, _ in scored)  # all taken as complete
+        best, places = errors, [0]
+        for k, (ok, _) in enumerate(scored, 1):
+            errors += 1 if ok else -1
+            if errors < best:
+                best, places = errors, [k]
+            elif errors == best:
+                places.append(k)
+        edges = [-20.0, *(x for _, x in scored), 20.0]
+        k = places[len(places) // 2]
+        return (edges[k] + edges[k + 1]) / 2, best / len(scored)
 
     def _ends(self, text: str) -> list[str]:
         low = re.sub(r"\d+", "0", text[-20:].casefold())
         return [low[-k:] for k in range(1, self.LONGEST + 1) if len(low) >= k]
 
-    def score(self, text: str) -> float:
-        """Ratio of the longest known end; below 0 where the text rather breaks off."""
+    def suffix(self, text: str) -> float:
+        """Ratio of the longest known end without its stop."""
         got = 0.0
-        for g in self._ends(text.rstrip()):
+        for g in self._ends(_FINAL.sub("", text.rstrip())):
             hit = self.ratio.get(g)
             if hit and hit[1] >= 4:
                 got = hit[0]
         return got
 
+    def log_odds(self, text: str, stopped: int = 0, open_ended: int = 0) -> float:
+        """Of complete to broken off; ``stopped`` and ``open_ended``: other sentences of the text with and without a final stop."""
+        lacking = (open_ended + 2 * self.careless) / (stopped + open_ended + 2)
+        if _FINAL.search(text.rstrip()):
+            return math.log((1 - lacking) / self.stop_cut) + self.suffix(text)
+        return math.log(lacking / (1 - self.stop_cut)) + self.suffix(text)
+
 
 class PairJudge:
     """All models, and the verdict on one pair."""
@@ -168,16 +215,16 @@ class PairJudge:
 
     @staticmethod
     def _refusal(answer: str) -> bool:
+        """Whether an answer declines: after its courtesies, however many, it opens by declining, or with an apology and declines later."""
         said = _QUOTED.sub(" Q ", answer.casefold().replace("’", "'"))
-        parts = [p for p in _SENTENCE.split(said) if p.strip()][:4]
+        parts = [p for p in _SENTENCE.split(said) if p.strip()]
+        opening = next((i for i, p in enumerate(parts) if not _COURTESY.search(p) or _DECLINE.search(p) or _APOLOGY.search(p)), 0)
+        parts = parts[opening:]
         hits = [bool(_DECLINE.search(p)) for p in parts]
         sorry = any(_APOLOGY.search(p) for p in parts[:2])
-        if sorry and any(_NEGATION.search(p) for p in parts[:2]):
+        if sorry and (any(hits) or any(_NEGATION.search(p) for p in parts[:2])):
             return True
-        if not any(hits[:3]):
-            return False
-        at = hits.index(True)
-        return sorry or at == 0 or (at == 1 and len(parts) <= 3)
+        return bool(hits) and (hits[0] or (len(hits) in (2, 3) and hits[1]))
 
     @staticmethod
     def _copy(prompt: str, answer: str) -> bool:
@@ -220,46 +267,46 @@ class PairJudge:
         return letters >= 16 and token_classes(answer)[1][0] >= 2
 
     def _truncated(self, answer: str) -> bool:
-        if answer.count("```") % 2 or re.search(r"(?:\.{2,}|…)$", answer):
-            return True
-        tail = answer[-160:]
-        if re.search(r"[,(\[{=\-–—/:&+]$|(?:^|\s)[\"'“‘(\[]$", answer) and not re.search(r"(?:^|\s)\S*[/\\]\S*[/\\]$", answer):
-            return True
+        """Whether an answer breaks off: the log-likelihood ratio of its end, with what marks of an unfinished text take from it, is below the fitted bound."""
+        return self.completeness(answer) < self.ends.bound
+
+    def completeness(self, answer: str) -> float:
+        """Log-odds that an answer is finished."""
         lines = [x for x in answer.split("\n") if x.strip()]
-        if _MARKER.match(lines[-1]) and len(lines) > 1:
-            return True
-        for a, b in ("()", "[]", "“”", "「」"):
-            if tail.rfind(a) > tail.rfind(b) and len(answer) > 30 and not re.search(r"(?:^|\s)[:;]\($", answer):
-                return True
-        if _FINAL.search(answer):
-            return False
         last = lines[-1].strip()
-        item = bool(_ITEM.match(last))
-        running = _ITEM_MARK.sub("", last) if item else last
-        parts = [p for p in _SENTENCE.split(running) if p.strip()]
-        part = parts[-1].strip() if parts else ""
+        item = _ITEM_MARK.match(last)
+        parts = [p for p in _SENTENCE.split(last[item.end() :] if item else last) if p.strip()]
+        end = parts[-1].strip() if parts else ""
+        # other sentences of the text: among items only items tell how sentences end there
+        others = [p for x in lines[:-1] if not item or _ITEM_MARK.match(x.strip()) for p in _SENTENCE.split(_ITEM_MARK.sub("", x.strip())) if p.strip()] + parts[:-1]
+        others = [p.strip() for p in others if _FINAL.search(p.strip()) or self._running(p)]
+        marks = self._open_marks(answer, lines) + bool(item and others and len(end) * 2 * len(others) < sum(map(len, others)))
+        stopped = sum(bool(_FINAL.search(p)) for p in others)
+        if _FINAL.search(end) or others or self._running(end):
+            odds = self.ends.log_odds(end, stopped, len(others) - stopped)
+        else:  # an entry, a name or a command has no stop to lack
+            odds = SHORT_ODDS
+            if not item and len(end.split()) > 1:
+                odds += min(0.0, self.ends.suffix(end)) * (token_classes(end)[1][0] > 1)
+                marks += bool(_TOPIC.search(end) and not _NOMINAL.search(end))
+        return odds + MARK_ODDS * marks
+
+    @staticmethod
+    def _running(part: str) -> bool:
+        """Whether a part is a sentence rather than an entry, a name or a command."""
         lang, counts = token_classes(part)
-        n_words = len(part.split())
-        score = self.ends.score(part)
-        if item:  # among items that are sentences, the last must be one too
-            others = [_ITEM_MARK.sub("", x.strip()) for x in lines[:-1] if _ITEM.match(x)]
-            running_items = [x for x in others if token_classes(x)[1][0] >= 2 or _FINAL.search(x)]
-            if not others or len(running_items) * 2 < len(others):
-                return counts[0] >= 2 and score < -0.5
-            mean = sum(len(x) for x in running_items) / len(running_items)
-            return score < 1.5 or len(part) < 0.5 * mean or any(_FINAL.search(x) for x in others)
-        if len(parts) > 1:  # an open end after a finished sentence
-            return True
-        before = any(_FINAL.search(x.strip()) for x in lines[:-1])
-        if before:
-            return counts[0] >= 1 or n_words > 3
-        if lang in ("ja", "zh"):
-            return score < 0 and len(part) >= 8
-        if n_words < 4 or counts[0] == 0:  # a short answer of its own
-            topic = n_words >= 2 and re.search(r"[가-힣A-Za-z](?:은|는|을|를)(?= |$)", part) and not re.search(r"(?:다|요|음|됨|함|것|불필요|필요|가능|실행|없음|있음)$", part)
-            return bool(topic) or (n_words >= 3 and counts[0] >= 2 and score < -1.5)
-        korean = lang == "ko"
-        return score < (0.5 if korean else 1.5) or (not korean and n_words >= 5)
+        return counts[0] >= 1 and (len(part.split()) >= 4 or (lang in ("ja", "zh") and len(part) >= 8))
+
+    @staticmethod
+    def _open_marks(answer: str, lines: list[str]) -> int:
+        """Marks of an unfinished text: an open fence or bracket, dots, a mark that something follows, an empty last item."""
+        return sum((
+            answer.count("```") % 2 == 1,
+            bool(re.search(r"(?:\.{2,}|…)$", answer)),
+            bool(re.search(r"[,(\[{=\-–—/:&+]$|(?:^|\s)[\"'“‘(\[]$", answer)) and not re.search(r"(?:^|\s)\S*[/\\]\S*[/\\]$", answer),
+            len(lines) > 1 and bool(_MARKER.match(lines[-1])),
+            any(answer.rfind(a) > answer.rfind(b) for a, b in ("()", "[]", "“”", "「」")) and len(answer) > 30 and not re.search(r"(?:^|\s)[:;]\($", answer),
+        ))
 
 
 def fit_judge(corpus: DataFrame, **bounds) -> PairJudge:
@@ -277,10 +324,8 @@ def broken_pairs(pairs: DataFrame, judge: PairJudge, id_col: str = "entry_id", p
     """
     spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(judge)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best = F.max(F.struct(F.col(order_col).alias("o"), F.col(prompt_col).alias("q"), F.col(response_col).alias("a"))).alias("_best")
     rows = pairs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), order_col, prompt_col, response_col).groupBy("_id").agg(best).select("_id", "_best.q", "_best.a")
-    rows = rows.repartition(parts)  # a fixed number, as the work lies in the judging, not in the bytes; after the rows of an id were combined
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 """Problem 5: verdicts on pairs of each kind, sound ones, and whole tables."""
 
+import time
+
 import pytest
 
 from lexloom.llm import langdata, pairs
@@ -73,3 +75,51 @@ def test_table(spark, judge):
 def test_all_lines_are_fitted():
     model = pairs.NgramBayes({"en": ["some words"] * 15_000 + ["öüö"]})
     assert len("some words") * 15_000 > 120_000 and "öüö" in model.index
+
+
+HELD_OUT = {
+    "en": "The operator restarted the server because the disk was full and nobody had noticed it. We will look at the report again when the numbers of the last week are there.",
+    "ko": "디스크가 가득 차서 관리자가 서버를 다시 시작했습니다. 지난주 수치가 나오면 보고서를 다시 살펴보겠습니다.",
+    "de": "Der Verwalter hat den Rechner neu gestartet, weil die Platte voll war und niemand es bemerkt hatte.",
+}
+
+
+def test_end_likelihood_decides(judge, monkeypatch):
+    whole = [s if s.endswith(".") else s + "." for text in HELD_OUT.values() for s in text.split(". ")]
+    cut = [" ".join(s.split()[:k]) for s in whole for k in (5, 6, 7) if len(s.split()) > k]
+    assert not any(judge.verdict(None, s) for s in whole)
+    assert sum(judge.verdict(None, s) == "truncated" for s in cut) >= 0.9 * len(cut)
+    for constant in (-9.0, 9.0):
+        monkeypatch.setattr(judge.ends, "log_odds", lambda *_, c=constant: c)
+        verdicts = [judge.verdict(None, s) for s in whole + cut]
+        assert sum(v == "truncated" for v in verdicts) in (0, len(whole) + len(cut))
+
+
+def test_bound_is_fitted_on_held_out_sentences(judge):
+    assert judge.ends.held_out_errors <= 0.1
+    model = pairs.EndModel
+    assert model._fit_bound([]) == (0.0, 0.0)
+    bound, errors = model._fit_bound([(False, -3.0), (False, -1.0), (True, 1.0), (True, 1.2), (True, 2.0), (False, 1.5)])
+    assert -1 < bound < 1 and errors == 1 / 6
+
+
+def test_refusal_after_courtesies_and_far_brackets(judge):
+    assert judge.verdict("How do I start it?", "Hello. Thank you. Good question. Let me see. I cannot help with this.") == "refusal"
+    assert judge.verdict("How do I start it?", "I cannot help with this.") == "refusal"
+    assert judge.verdict("How do I start it?", "Use the console (" + "the log is written there and the rest is checked, " * 8 + "then stop") == "truncated"
+
+
+def test_long_runs_of_letters_are_read_at_once():
+    began = time.time()
+    assert langdata.plain("a" * 1_000_000) == "a" * 1_000_000 and langdata.plain("x" * 500_000 + "1" + "y" * 500_000) == ""
+    assert time.time() - began < 1
+    assert langdata.plain("서버12abc /srv/a.log is down") == "서버 is down"
+
+
+def test_sample_is_bounded_and_the_smallest_hashes(spark):
+    text = "The log file is checked by the administrator and then the server is started again."
+    df = spark.range(3000).selectExpr("cast(id as string) doc_id", "if(id % 3 = 0, 'de', 'en') lang_label", f"concat('{text} ', id) text")
+    lines = langdata.training_lines(df, rows_per_language=20)
+    hashes = df.where("lang_label = 'en'").selectExpr("xxhash64(doc_id) h", "text").orderBy("h").limit(20).collect()
+    assert {r.text for r in hashes} == {x for x in lines["en"] if x.startswith(text)}
+    assert langdata.training_lines(df.limit(0))["en"] == langdata.SEED["en"].split(". ")
