@@ -11,12 +11,15 @@ that grows with the value's length.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,31 @@ def distance_for(length: int) -> int:
     return 0 if length < 4 else 1 if length < 7 else 2 if length < 12 else 3
 
 
+class _Node:
+    """A place in a trie: the ways on, the entries that end here, and the fewest and most characters to an end below."""
+
+    __slots__ = ("kids", "ids", "shortest", "longest")
+
+    def __init__(self):
+        self.kids: dict[str, _Node] = {}
+        self.ids: tuple[int, ...] = ()
+        self.shortest, self.longest = 1 << 30, 0
+
+
+def _compile(keys: Iterable[tuple[str, int]]) -> _Node:
+    root = _Node()
+    for key, i in keys:
+        node, left = root, len(key)
+        node.shortest, node.longest = min(node.shortest, left), max(node.longest, left)
+        for c in key:
+            node = node.kids.setdefault(c, _Node())
+            left -= 1
+            node.shortest, node.longest = min(node.shortest, left), max(node.longest, left)
+        if i not in node.ids:
+            node.ids += (i,)
+    return root
+
+
 class CanonicalTrie:
     """The compiled list; ``entries``: (id, name, aliases or None)."""
 
@@ -90,7 +118,7 @@ class CanonicalTrie:
         self.syllables = syllables
         for w in heads:
             if not self.words[w]:
-                self.words[w] |= {romanize(w)} if _korean(w) else set(self._to_hangul(w))
+                self.words[w] |= {romanize(w)} if _korean(w) else set(self._spellings(w))
                 for v in list(self.words[w]):
                     self.words.setdefault(v, set()).add(w)
         self.forms = {w: {w, *self.words[w]} for w in self.words}
@@ -101,63 +129,58 @@ class CanonicalTrie:
                 for w in ws[1:] + (ws[:1] if len(ws) > 2 else []):
                     if w not in self.short.setdefault(w[0], []):
                         self.short[w[0]].append(w)
-        self.root: dict = {}
         self.exact: dict[str, set[int]] = {}
         self.of: dict[int, list[set[str]]] = {}
+        self.having: dict[str, set[int]] = {}  # entries that have a word, in any of its forms
         for i, name, aliases in names:
             self.of[i] = [{v for x in _WORDS.findall(f) for v in self.forms[x]} for f in (name, *aliases)]
+            for w in set().union(*self.of[i]):
+                self.having.setdefault(w, set()).add(i)
             for form in (name, *aliases):
                 words = _WORDS.findall(form)
                 for order in {tuple(words), tuple(words[-1:] + words[:-1]), tuple(words[1:] + words[:1])}:
                     for path in product(*(sorted(self.forms[w]) for w in order)):
-                        self._add(squeeze("".join(path)), i)
+                        self.exact.setdefault(squeeze("".join(path)), set()).add(i)
+        self.keys: dict[int, list[str]] = {}
+        for key, ids in self.exact.items():
+            for i in ids:
+                self.keys.setdefault(i, []).append(key)
+        self.root = _compile((key, i) for key, ids in self.exact.items() for i in ids)
+        self.below: dict[str, _Node] = {}  # the tries of the entries that have a word, made when first searched
         self.reach = max(map(len, self.exact), default=0) + distance_for(1 << 20)
 
-    def _to_hangul(self, word: str, most: int = 8) -> list[str]:
-        """Hangul spellings of a Latin word by the list's own syllables (the first ``most``)."""
-        done: list[str] = []
-
-        def walk(at: int, so_far: str) -> None:
-            if len(done) >= most:
-                return
-            if at == len(word):
-                done.append(so_far)
-            for n in (4, 3, 2, 1):
-                for c in sorted(self.syllables.get(word[at : at + n], ())) if at + n <= len(word) else ():
-                    walk(at + n, so_far + c)
-
-        walk(0, "")
-        return done
+    def _spellings(self, word: str, at: int = 0) -> Iterator[str]:
+        """All Hangul spellings of a Latin word by the list's own syllables."""
+        if at == len(word):
+            yield ""
+        for n in (4, 3, 2, 1):
+            for c in sorted(self.syllables.get(word[at : at + n], ())) if at + n <= len(word) else ():
+                for rest in self._spellings(word, at + n):
+                    yield c + rest
 
     def well_formed(self, word: str) -> bool:
         """Whether a word is built of the list's own syllables throughout, so that it is a name of its own rather than a slip."""
         if _korean(word):
             return len(word) > 1 and all(c in self.syllables.get(romanize(c), ()) for c in word)
-        return len(word) > 3 and bool(self._to_hangul(word, 1))
+        return len(word) > 3 and next(self._spellings(word), None) is not None
 
     def expanded(self, form: str) -> list[str]:
         """Readings of a form with abbreviated words (Ins., Mgr, Eng.) written out, where any is."""
         options = []
         for w in form.split():
-            full = [v for v in self.short.get(w[0], ()) if _abbreviates(w, v)] if 2 <= len(w) <= 6 and w not in self.forms else []
+            full = [v for v in self.short.get(w[0], ()) if _abbreviates(w, v)] if len(w) >= 2 and w not in self.forms else []
             options.append(full or [w])
         if all(len(o) == 1 and o[0] == w for o, w in zip(options, form.split())):
             return []
         return [" ".join(x) for x in product(*options)]
 
-    def _add(self, key: str, i: int) -> None:
-        node = self.root
-        for c in key:
-            node = node.setdefault(c, {})
-        node.setdefault("", set()).add(i)
-        self.exact.setdefault(key, set()).add(i)
-
-    def search(self, key: str, most: int) -> dict[int, int]:
-        """All entries within ``most`` edits of the key (insertions, deletions, changes, exchanges of neighbours), with their distance.
+    def search(self, key: str, most: int, root: _Node | None = None) -> dict[int, int]:
+        """All entries (below ``root``, where given) within ``most`` edits of the key (insertions, deletions, changes, exchanges of neighbours), with their distance.
 
         Bit j of state e says that j characters of the key may be consumed with
         e edits; the states move along the trie, and a branch ends when all
-        are empty.
+        are empty, or what is left of the key differs from every way to the
+        end of the branch by more characters than there are edits.
         """
         n = len(key)
         masks: dict[str, int] = {}
@@ -168,12 +191,10 @@ class CanonicalTrie:
         for e in range(most):
             start.append(start[-1] | start[-1] << 1 & full)
         found: dict[int, int] = {}
-        stack = [(self.root, tuple(start), None, 0)]
+        stack = [(root or self.root, tuple(start), None, 0)]
         while stack:
             node, states, before, mask_before = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    continue
+            for c, child in node.kids.items():
                 m = masks.get(c, 0)
                 last = (states[0] & m) << 1
                 new = [last]
@@ -184,19 +205,35 @@ class CanonicalTrie:
                         s |= (before[e - 1] & m & mask_before >> 1) << 2 & full
                     new.append(s)
                     last = s
-                if not new[most]:
+                least = n - child.longest - most
+                if not last >> max(0, least) or not last & (1 << max(0, n - child.shortest + most + 1)) - 1:
                     continue
-                ends = child.get("")
-                if ends:
+                if child.ids:
                     for e, s in enumerate(new):
                         if s & goal:
-                            for i in ends:
+                            for i in child.ids:
                                 if found.get(i, 99) > e:
                                     found[i] = e
                             break
                 stack.append((child, tuple(new), states, m))
         return found
 
+    def _root_for(self, words: list[str]) -> _Node | None:
+        """Trie of the entries that may be meant: those with the rarest of the typed words that the list has.
+
+        None where no entry can be: a typed word is a name of its own, built
+        of the list's syllables but not in it.
+        """
+        known = [w for w in words if w in self.forms]
+        if any(w not in self.forms and self.well_formed(w) for w in words):
+            return None
+        if not known:
+            return self.root
+        rarest = min(known, key=lambda w: (len(self.having[w]), w))
+        if rarest not in self.below:
+            self.below[rarest] = _compile((key, i) for i in sorted(self.having[rarest]) for key in self.keys[i])
+        return self.below[rarest]
+
     def candidates(self, text: str) -> list[tuple[int, int]]:
         """(entry, distance) of all entries within the length-dependent distance of a typed value, closest first."""
         best: dict[int, int] = {}
@@ -223,15 +260,16 @@ class CanonicalTrie:
                 return next(iter(hit)) if len(hit) == 1 else 0
         for form in forms:
             key = squeeze(form)
-            top = distance_for(len(key))
             words = _WORDS.findall(form)
-            for most in range(1, top + 1):
-                found = self.search(key, most)
-                kept = [i for i in found if any(self._fits(words, has) for has in self.of[i])]
-                if kept:
-                    if len(kept) == 1:
-                        return kept[0]
-                    break  # as near to two: it can't be told
+            root = self._root_for(words) if distance_for(len(key)) else None
+            if root is None:
+                continue
+            found = self.search(key, distance_for(len(key)), root)
+            kept = [(e, i) for i, e in found.items() if e and any(self._fits(words, has) for has in self.of[i])]
+            least = min(kept, default=(0, 0))[0]
+            nearest = [i for e, i in kept if e == least]
+            if len(nearest) == 1:  # as near to two: it can't be told
+                return nearest[0]
         return 0
 
     def _fits(self, words: list[str], has: set[str]) -> bool:
@@ -286,6 +324,58 @@ def typed_forms(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _shared_trie(entries: _Entries) -> CanonicalTrie:
+    """The compiled list, once per worker process, whatever the number of its tasks."""
+    return CanonicalTrie(entries.rows)
+
+
+class _Entries:
+    """The list as it is sent along; told apart by its digest alone."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.digest = hashlib.sha256(repr(rows).encode()).hexdigest()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Entries) and self.digest == other.digest
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+
+def _share_list(canon: DataFrame, most_entries: int) -> Broadcast:
+    rows = canon.where(F.col("canon_id").isNotNull()).select("canon_id", "canonical_name", "known_aliases").limit(most_entries + 1).collect()
+    if len(rows) > most_entries:
+        raise ValueError(f"the list has more than {most_entries} entries")
+    entries = sorted((r[0], r[1], list(r[2]) if r[2] is not None else None) for r in rows)
+    return canon.sparkSession.sparkContext.broadcast(_Entries(entries))
+
+
+def candidate_entries(entities: DataFrame, canon: DataFrame, most_entries: int = 100_000) -> DataFrame:
+    """``(value, canon_id, distance)``: for each distinct typed name or alias all entries within the length-dependent distance.
+
+    Values without an entry in reach have one row with null for both.  Null
+    values are left out; every row of ``entities`` counts, not only the
+    latest.  Equal values are combined before the shuffle and searched once.
+    """
+    shared = _share_list(canon, most_entries)
+    typed = entities.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("value")).where(F.col("value").isNotNull()).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _shared_trie(shared.value)
+        for batch in batches:
+            values, ids, distances = [], [], []
+            for value in batch.column(0).to_pylist():
+                for i, e in trie.candidates(value) or [(None, None)]:
+                    values.append(value)
+                    ids.append(i)
+                    distances.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], names=["value", "canon_id", "distance"])
+
+    return typed.mapInArrow(run, "value string, canon_id bigint, distance int")
+
+
 def map_entities(entities: DataFrame, canon: DataFrame, most_entries: int = 100_000) -> DataFrame:
     """``(entity_id, canon_id, matched_by)``: for each distinct entity the list item it means, or 0.
 
@@ -295,19 +385,12 @@ def map_entities(entities: DataFrame, canon: DataFrame, most_entries: int = 100_
     The list goes to every task, so it may have at most ``most_entries`` rows
     (checked); entities are one aggregation by id and one pass.
     """
-    rows = canon.where(F.col("canon_id").isNotNull()).select("canon_id", "canonical_name", "known_aliases").limit(most_entries + 1).collect()
-    if len(rows) > most_entries:
-        raise ValueError(f"the list has more than {most_entries} entries")
-    entries = sorted((r[0], r[1], list(r[2]) if r[2] is not None else None) for r in rows)
-    spark = entities.sparkSession
-    shared = spark.sparkContext.broadcast(entries)
+    shared = _share_list(canon, most_entries)
     best = F.max(F.struct("updated_at", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))).alias("_best")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     latest = entities.where(F.col("entity_id").isNotNull()).groupBy("entity_id").agg(best).select("entity_id", "_best.name", "_best.aliases")
-    latest = latest.repartition(parts)  # a fixed number, as the work lies in the matching, not in the bytes; after the rows of an id were combined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = CanonicalTrie(shared.value)
+        trie = _shared_trie(shared.value)
         known: dict[str, int] = {}
 
         def meaning(text: str | None) -> int:

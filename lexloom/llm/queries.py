@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_matches(spark, sf_dir).select("entity_id", "canon_id")
 
 
+def p1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of the list within the distance of each distinct typed value."""
+    return canonical.candidate_entries(table(spark, sf_dir, "entities"), table(spark, sf_dir, "canonical_names"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks over the cap and whether natural boundaries suffice to cut them."""
     return p2_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id", "cut_kind")
@@ -104,7 +109,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_candidates, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
 _OVERSIZED_SQL = r"""

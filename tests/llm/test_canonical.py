@@ -93,3 +93,29 @@ def test_padding_of_any_length_is_levelled():
     for typed in ("Backup Manager" + " " * 600 + "v2.1", "Backup" + "​" * 600 + " Manager"):
         assert TRIE.meaning(typed) == 6
     assert TRIE.meaning("Backup Manager" + " word" * 1000) == 0
+
+
+def test_every_spelling_and_long_abbreviations():
+    # twelve Hangul spellings of one head, as syllables that share a romanisation stand in other entries
+    pairs = [("Kakda", "각다"), ("Kakra", "갂라"), ("Kakma", "갘마"), ("Dakma", "닥마"), ("Dakra", "닦라"), ("Dakba", "닼바"), ("Kakdak", None)]
+    entries = [(i, f"{a} Broker", [f"{b} 브로커"] if b else None) for i, (a, b) in enumerate(pairs, 1)]
+    trie = canonical.CanonicalTrie([(i, n.replace("Kak", "Gak"), a) for i, n, a in entries])
+    spellings = list(trie._spellings("gakdak"))
+    assert len(spellings) == 9 and len(set(spellings)) == 9 and all(trie.meaning(f"{w} 브로커") == 7 for w in spellings)
+    assert canonical.CanonicalTrie([(1, "Incident Administrator", None), (2, "Incident Analyst", None)]).meaning("Incident Administr.") == 1
+
+
+def test_search_below_a_word_is_the_search_among_its_entries():
+    for word in ("scheduler", "foods", "kilsensa"):
+        root = TRIE._root_for([word])
+        for key in ("kilsensascheduler", "kilsensaschedulr", "hongkilsenfods", "bamdotrefood", "x"):
+            assert TRIE.search(key, 2, root) == {i: e for i, e in TRIE.search(key, 2).items() if i in TRIE.having[word]}
+
+
+def test_candidate_table(spark):
+    entities = spark.createDataFrame([("e1", "Kilsensa Schedulr", ["Backup Manager", None]), ("e2", None, None), ("e3", "Backup Manager", []), ("e4", "", ["zzz"]), ("e5", "Kilsensa Schedulr", None)], "entity_id string, name string, aliases array<string>")
+    canon = spark.createDataFrame([(i, n, a) for i, n, a in LIST], "canon_id bigint, canonical_name string, known_aliases array<string>")
+    got = {(r.value, r.canon_id, r.distance) for r in canonical.candidate_entries(entities, canon).collect()}
+    want = {(v, i, e) for v in ("Kilsensa Schedulr", "Backup Manager", "", "zzz") for i, e in TRIE.candidates(v) or [(None, None)]}
+    assert got == want and ("Kilsensa Schedulr", 2, 1) in got and ("zzz", None, None) in got
+    assert canonical.candidate_entries(entities.limit(0), canon).count() == 0
