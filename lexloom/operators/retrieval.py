@@ -21,9 +21,9 @@ def okapi_idf(df: DataFrame, n_docs: Column, epsilon: float = 0.25) -> DataFrame
     return raw.select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def top_k(run: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The k best documents of each query with their rank; ties by doc_id."""
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), "doc_id"))
+def top_k(run: DataFrame, k: int, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best documents of each query (in each group ``by``) with their rank; ties by doc_id."""
+    rank = F.row_number().over(W.partitionBy(*by, "qid").orderBy(F.desc(score), "doc_id"))
     return run.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -40,21 +40,22 @@ def bm25(post: DataFrame, idf: DataFrame, avgdl: Column, terms: DataFrame, k: in
     return top_k(scores.where(F.col("score") != 0), k)
 
 
-def overlap(keyword_terms: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, doc_id, score): 0.7 |Q and K| / |Q| + 0.3 |Q and K| / |Q or K| over the token sets of query and document keywords.
+def overlap(keyword_terms: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, qid, doc_id, score): 0.7 |Q and K| / |Q| + 0.3 |Q and K| / |Q or K| over the token sets of query and document keywords.
 
     ``keyword_terms``: (doc_id, term, n_k) with the document's number of
-    keyword tokens; ``terms``: distinct (qid, term).  An inverted join, so only
+    keyword tokens, and the columns ``by``, such as the model; ``terms``:
+    distinct (qid, term).  An inverted join, so only
     pairs that share a token appear; the rest are 0.
     """
     query_size = terms.groupBy("qid").agg(F.count("*").alias("n_q"))
-    both = keyword_terms.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n"), F.max("n_k").alias("n_k"))
+    both = keyword_terms.join(terms, "term").groupBy(*by, "qid", "doc_id").agg(F.count("*").alias("n"), F.max("n_k").alias("n_k"))
     score = 0.7 * F.col("n") / F.col("n_q") + 0.3 * F.col("n") / (F.col("n_q") + F.col("n_k") - F.col("n"))
-    return both.join(query_size, "qid").select("qid", "doc_id", F.round(score, 9).alias("score"))
+    return both.join(query_size, "qid").select(*by, "qid", "doc_id", F.round(score, 9).alias("score"))
 
 
-def _best(score: str) -> Column:
-    top = F.max(score).over(W.partitionBy("qid"))
+def _best(score: str, by: tuple[str, ...] = ()) -> Column:
+    top = F.max(score).over(W.partitionBy(*by, "qid"))
     return F.when(top == 0, 1.0).otherwise(top)
 
 
@@ -72,6 +73,11 @@ def candidates(bm: DataFrame, kw: DataFrame, most: int = 1000) -> DataFrame:
     return bm.where(F.col("rank") <= most).select("qid", "doc_id", F.col("score").alias("bm"), F.col("rank").alias("bm_rank")).join(kw.select("qid", "doc_id", F.col("score").alias("kw")), ["qid", "doc_id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
 
 
+def max_score(alpha: Column, by: tuple[str, ...] = ()) -> Column:
+    """(1 - alpha) BM25 + alpha keywords, each divided by its best of the query (in each group ``by``)."""
+    return F.round((1 - alpha) * (F.col("bm") / _best("bm", by)) + alpha * (F.col("kw") / _best("kw", by)), DECIMALS)
+
+
 def fuse(cand: DataFrame, alpha: float = 0.1, mode: str = "max", k: int = 1000) -> DataFrame:
     """(qid, doc_id, score, rank): (1 - alpha) BM25 + alpha keywords over the candidates; mode max, zscore or rrf."""
     alpha = min(1.0, max(0.0, alpha))

@@ -24,7 +24,8 @@ def _tokens():
 
 
 def _post(spark, d):
-    return P.postings(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", _tokens())
+    """Postings of the documents; kept, as frequencies, statistics, scores and keywords are all read off them."""
+    return P.postings(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", _tokens()).persist()
 
 
 def _questions(spark, d):
@@ -36,23 +37,27 @@ def _n_docs(spark, d):
 
 
 def _avgdl(spark, d):
-    return P.corpus_stats(spread(table(spark, d, "documents").select("text")), _tokens()).select("avgdl").scalar()
+    return F.coalesce(_post(spark, d).agg(F.sum("tf")).scalar(), F.lit(0)) / _n_docs(spark, d)
+
+
+def _df(spark, d):
+    return P.document_frequency(_post(spark, d)).persist()  # as small as the vocabulary
+
+
+def _terms(spark, d):
+    return R.query_terms(_questions(spark, d), "qid", _tokens())
 
 
 def _bm25(spark, d, k=1000):
-    post = _post(spark, d)
-    df = P.document_frequency(post).persist()  # read twice; as small as the vocabulary
-    idf = R.okapi_idf(df, _n_docs(spark, d))
-    return R.bm25(post, idf, _avgdl(spark, d), R.query_terms(_questions(spark, d), "qid", _tokens()), k)
+    return R.bm25(_post(spark, d), R.okapi_idf(_df(spark, d), _n_docs(spark, d)), _avgdl(spark, d), _terms(spark, d), k)
 
 
 def _keywords(spark, d, k=30):
-    post = _post(spark, d)
-    return P.top_terms(post, P.document_frequency(post), _n_docs(spark, d), k)
+    return P.top_terms(_post(spark, d), _df(spark, d), _n_docs(spark, d), k)
 
 
 def _overlap(spark, d):
-    return R.overlap(_keywords(spark, d).select("doc_id", "term", "n_k"), R.query_terms(_questions(spark, d), "qid", _tokens()).select("qid", "term"))
+    return R.overlap(_keywords(spark, d).select("doc_id", "term", "n_k"), _terms(spark, d).select("qid", "term"))
 
 
 def _candidates(spark, d):
@@ -68,7 +73,7 @@ def _sentences(text):
 def _qrels(spark, d):
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.explode(_sentences(F.col("item_text"))).alias("s"))
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()).select("doc_id", F.explode(_sentences(F.col("text"))).alias("s"))
-    return docs.join(items, "s").groupBy("qid", "doc_id").agg(F.count("*").cast("int").alias("rel"))
+    return docs.join(items, "s").groupBy("qid", "doc_id").agg(F.count("*").cast("int").alias("rel")).persist()  # few, and read for the gains and for the ideal ones
 
 
 def doc_frequency(spark, d):
@@ -145,20 +150,9 @@ def retrieval_metrics(spark, d):
 
 def alpha_sweep(spark, d):
     """Metrics of the max fusion for each weight; the candidates are computed once for all weights."""
-    cand = _candidates(spark, d)
-    grid = cand.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    best = lambda c: F.max(c).over(R.W.partitionBy("alpha", "qid"))
-    one = lambda c: F.when(best(c) == 0, 1.0).otherwise(best(c))
-    score = F.round((1 - F.col("alpha")) * F.col("bm") / one("bm") + F.col("alpha") * F.col("kw") / one("kw"), R.DECIMALS)
-    scored = grid.select("alpha", "qid", "doc_id", score.alias("score"))
-    rank = F.row_number().over(R.W.partitionBy("alpha", "qid").orderBy(F.desc("score"), "doc_id"))
-    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= 10)
-    qrels = _qrels(spark, d).where("rel > 0")
-    place = F.row_number().over(R.W.partitionBy("qid").orderBy(F.desc("rel"), "doc_id"))
-    ideal = qrels.withColumn("p", place).where("p <= 10").groupBy("qid").agg(F.sum(F.col("rel") / F.log2(F.col("p") + 1)).alias("i"))
-    gained = ranked.join(qrels, ["qid", "doc_id"]).groupBy("alpha", "qid").agg(F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("g"))
-    queries = ranked.select("alpha", "qid").distinct().join(ideal, "qid", "left").join(gained, ["alpha", "qid"], "left")
-    return queries.groupBy("alpha").agg(F.round(F.avg(F.coalesce(F.col("g") / F.col("i"), F.lit(0.0))), 6).alias("ndcg_10"))
+    grid = _candidates(spark, d).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
+    scored = grid.select("alpha", "qid", "doc_id", R.max_score(F.col("alpha"), ("alpha",)).alias("score"))
+    return E.metrics(R.top_k(scored, 10, by=("alpha",)), _qrels(spark, d), (10,), ("alpha",)).select("alpha", "ndcg_10")
 
 
 def keyword_quality(spark, d):
@@ -169,10 +163,16 @@ def keyword_quality(spark, d):
 
 
 def _model_scores(spark, d):
-    cand, qrels = _candidates(spark, d), _qrels(spark, d)
-    runs = {"bm25": R.top_k(cand.select("qid", "doc_id", F.col("bm").alias("score")), TOP), "rake_like_max": R.fuse(cand, 0.1, "max", TOP), "zscore": R.fuse(cand, 0.1, "zscore", TOP)}
-    parts = [E.metrics(run, qrels, (1, 10)).select(F.lit(name).alias("model"), F.explode(F.create_map(*[x for m in ("ndcg_1", "ndcg_10", "recall_10", "mrr") for x in (F.lit(m), F.col(m))])).alias("metric", "value")) for name, run in runs.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(model, metric, value) of three runs over the same candidates, which are scored and judged in one pass."""
+    cand = _candidates(spark, d)
+    z = R.fuse(cand, 0.1, "zscore", 1 << 30).select("qid", "doc_id", F.col("score").alias("z"))
+    scored = cand.withColumns({"max": R.max_score(F.lit(0.1))}).join(z, ["qid", "doc_id"])
+    runs = scored.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("score")) for n, c in (("bm25", "bm"), ("rake_like_max", "max"), ("zscore", "z"))])).alias("r")).select("qid", "doc_id", "r.model", "r.score")
+    return _long(E.metrics(R.top_k(runs, TOP, by=("model",)), _qrels(spark, d), (1, 10), ("model",)))
+
+
+def _long(scores):
+    return scores.select("model", F.explode(F.create_map(*[x for m in ("ndcg_1", "ndcg_10", "recall_10", "mrr") for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
 
 
 def best_model(spark, d):
