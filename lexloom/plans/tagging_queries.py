@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 from lexloom.functions.constants import DENY_PHRASES, ERROR_PATTERNS, GENRE_RULES, GENRE_RULES_LIGHT, GENRE_WEIGHTS, PRODUCTS, STOPWORDS_EN, STOPWORDS_KO
 from lexloom.operators import classify as C
+from lexloom.operators import evaluation as E
 from lexloom.operators import keywords as K
 from lexloom.operators import postings as P
+from lexloom.operators import retrieval as R
 from lexloom.operators import tagging as T
-from lexloom.plans.retrieval_queries import _POST, _keywords
-from lexloom.plans.text_queries import TAGGING_SQL
+from lexloom.plans import retrieval_queries as Q
+from lexloom.plans.retrieval_queries import _POST, _keywords, _metric_sql
+from lexloom.plans.text_queries import SIMPLE_SQL, TAGGING_SQL
 from lexloom.session import spread, table
 
 CATEGORIES = {"procedure": "절차", "report": "보고", "issue": "장애", "resolution": "조치", "application": "신청", "form": "양식", "maintenance": "점검", "guide": "안내", "record": "기록"}
@@ -73,6 +76,58 @@ def mmr_diversity(spark, d):
     return K.diverse(_votes(spark, d, 60), 10).select("doc_id", F.array_join("kw", "|").alias("kw"))
 
 
+def _model_lists(spark, d, k=30):
+    """(model, doc_id, kw array): keywords of each document by TF-IDF, RAKE, and both one after the other."""
+    rake, tfidf = _rake(spark, d, k), _tfidf_phrases(spark, d, k)
+    half = lambda p: K.as_lists(p.where(F.col("rank") <= k // 2))
+    lists = {"tfidf": K.as_lists(tfidf), "rake": K.as_lists(rake), "ensemble": K.ordered_union([half(rake), half(tfidf)], k)}
+    return _tagged(lists)
+
+
+def _yake_lists(spark, d, k=30):
+    """The same by YAKE, and by YAKE and RAKE voting by rank."""
+    yake = K.yake(spread(table(spark, d, "documents").select("doc_id", "text")), k=k)
+    votes = K.weighted_vote([(_rake(spark, d, k), 0.5), (yake, 0.5)], k)
+    return _tagged({"yake": K.as_lists(yake), "rake_yake": K.as_lists(votes)})
+
+
+def _tagged(lists):
+    parts = [df.select(F.lit(name).alias("model"), "doc_id", "kw") for name, df in lists.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
+def _fused_metrics(spark, d, lists, names):
+    """Metrics of BM25 mixed with a tenth of the overlap with each model's keywords, and of BM25 alone; one row a model."""
+    terms = Q._terms(spark, d).select("qid", "term")
+    words = lists.select("model", "doc_id", F.array_distinct(X.simple_tokens(F.array_join("kw", " "))).alias("w"))
+    kw = R.overlap(words.select("model", "doc_id", F.size("w").alias("n_k"), F.explode("w").alias("term")), terms, ("model",)).withColumnRenamed("score", "kw")
+    bm = Q._bm25(spark, d).select("qid", "doc_id", F.col("score").alias("bm"), F.explode(F.array(*[F.lit(n) for n in ("bm25", *names)])).alias("model"))
+    cand = bm.join(kw, ["model", "qid", "doc_id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
+    score = F.when(F.col("model") == "bm25", F.col("bm")).otherwise(R.max_score(F.lit(0.1), ("model",)))
+    runs = R.top_k(cand.select("model", "qid", "doc_id", score.alias("score")), Q.TOP, by=("model",))
+    return E.metrics(runs, Q._qrels(spark, d), (1, 10), ("model",))
+
+
+def model_metrics(spark, d):
+    """NDCG, recall and reciprocal rank of BM25 alone and with the keywords of each model; one row a model."""
+    return _fused_metrics(spark, d, _model_lists(spark, d), ("tfidf", "rake", "ensemble"))
+
+
+def model_metrics_yake(spark, d):
+    """The same with YAKE, and with RAKE and YAKE voting."""
+    return _fused_metrics(spark, d, _yake_lists(spark, d), ("yake", "rake_yake"))
+
+
+def model_keyword_quality(spark, d):
+    """Overlap with the queries, coverage, diversity and number of each model's keywords."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.simple_tokens(F.col("text")).alias("tokens"))
+    questions = Q._questions(spark, d).select("qid", X.simple_tokens(F.col("text")).alias("tokens"))
+    return E.keyword_quality(_model_lists(spark, d), docs, questions, Q._qrels(spark, d), ("model",))
+
+
 def frequency_tags(spark, d):
     """The twelve most frequent tokens of every document."""
     return T.frequency_tags(_docs(spark, d))
@@ -195,7 +250,7 @@ def kmeans_category(spark, d):
     return C.kmeans_categories(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (rake_keywords, yake_keywords, ensemble_union2, ensemble_union3, weighted_vote, mmr_diversity, frequency_tags, tfidf_tags, bm25_tags, topic_boost_tags, candidate_merge, consensus_tags, consensus_tags_yake, tag_quality, semantic_jaccard, chunked_tag_merge, genre_classify, genre_light, entities_light, domain_pattern, meaningful_answer, followup_parse, effective_category, kmeans_category)}
+QUERIES = {f.__name__: f for f in (rake_keywords, yake_keywords, ensemble_union2, ensemble_union3, weighted_vote, mmr_diversity, model_metrics, model_metrics_yake, model_keyword_quality, frequency_tags, tfidf_tags, bm25_tags, topic_boost_tags, candidate_merge, consensus_tags, consensus_tags_yake, tag_quality, semantic_jaccard, chunked_tag_merge, genre_classify, genre_light, entities_light, domain_pattern, meaningful_answer, followup_parse, effective_category, kmeans_category)}
 
 
 def _list(words) -> str:
@@ -253,6 +308,35 @@ cons AS (SELECT doc_id, tag, confidence, votes, fallback, row_number() OVER (PAR
 """
 
 
+_MODEL_LISTS = """
+, ml AS (SELECT 'tfidf' AS model, doc_id, term AS phrase FROM kws WHERE rank <= 30 UNION ALL SELECT 'rake', doc_id, phrase FROM rake WHERE rank <= 30
+         UNION ALL SELECT 'ensemble', doc_id, phrase FROM (SELECT doc_id, lower(trim(phrase)) AS phrase FROM rake WHERE rank <= 15 UNION SELECT doc_id, term FROM kws WHERE rank <= 15))
+"""
+
+
+def _model_metrics_sql() -> str:
+    names = ("tfidf", "rake", "ensemble")
+    ranked = lambda source: f"(SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {source}) WHERE rank <= {Q.TOP})"
+    runs = {"bm25": ranked("(SELECT qid, doc_id, bm AS score FROM cand)")} | {n: ranked(f"(SELECT qid, doc_id, score FROM mf WHERE model = '{n}')") for n in names}
+    return _RAKE + _MODEL_LISTS + f"""
+        , mt AS (SELECT DISTINCT model, doc_id, unnest({SIMPLE_SQL.format('phrase')}) AS term FROM ml), mn AS (SELECT model, doc_id, count(*) AS n_k FROM mt GROUP BY 1, 2),
+        mo AS (SELECT model, qid, doc_id, round(0.7::DOUBLE * n / n_q + 0.3::DOUBLE * n / (n_q + n_k - n), 9) AS kw FROM (SELECT model, qid, doc_id, count(*) AS n FROM mt JOIN qterm USING (term) GROUP BY 1, 2, 3) JOIN n_q USING (qid) JOIN mn USING (model, doc_id)),
+        mc AS (SELECT m.model, bm.qid, bm.doc_id, bm.score AS bm, coalesce(mo.kw, 0.0) AS kw FROM bm CROSS JOIN (SELECT unnest({list(names)}) AS model) m LEFT JOIN mo ON mo.model = m.model AND mo.qid = bm.qid AND mo.doc_id = bm.doc_id),
+        mf AS (SELECT model, qid, doc_id, round(0.9 * (bm / CASE WHEN max(bm) OVER q = 0 THEN 1 ELSE max(bm) OVER q END) + 0.1 * (kw / CASE WHEN max(kw) OVER q = 0 THEN 1 ELSE max(kw) OVER q END), 6) AS score FROM mc WINDOW q AS (PARTITION BY model, qid))
+        """ + " UNION ALL ".join(f"SELECT '{n}' AS model, * FROM ({_metric_sql(r, (1, 10))})" for n, r in runs.items())
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(phrase, '[^a-z0-9]+'), lambda w: length(w) >= 2))"
+_MODEL_QUALITY = r"""
+, mw AS (SELECT model, doc_id, phrase, {words} AS w FROM ml),
+k AS (SELECT model, doc_id, count(*) AS n, list_distinct(flatten(list(w))) AS kt, sum(len(w)) AS total FROM mw GROUP BY 1, 2),
+dt AS (SELECT doc_id, list_distinct(t) AS dt FROM toks),
+shape AS (SELECT model, round(avg(CASE WHEN len(dt) > 0 THEN len(list_intersect(dt, kt)) / len(dt) END), 6) AS coverage, round(avg(CASE WHEN total > 0 THEN least(1.0::DOUBLE, len(kt) / total) END), 6) AS diversity, round(avg(n), 6) AS avg_keywords FROM k JOIN dt USING (doc_id) GROUP BY 1),
+ql AS (SELECT qid, list(term) AS q FROM qterm GROUP BY 1),
+o AS (SELECT m.model, round(avg(coalesce(len(list_intersect(q, kt)) / len(q), 0)), 6) AS qko FROM qrels JOIN ql USING (qid) CROSS JOIN (SELECT DISTINCT model FROM k) m LEFT JOIN k ON k.model = m.model AND k.doc_id = qrels.doc_id GROUP BY 1)
+SELECT model, qko, coverage, diversity, avg_keywords FROM shape LEFT JOIN o USING (model)"""
+
+
 def _re(p: str) -> str:
     return C.bounded(p).replace("'", "''")
 
@@ -291,6 +375,8 @@ ORACLE = {
         , v AS (SELECT doc_id, lower(trim(phrase)) AS phrase, 0.7::DOUBLE * (1 - (rank - 1) / 21) AS v FROM rake WHERE rank <= 20 UNION ALL SELECT doc_id, term, 0.3::DOUBLE * (1 - (rank - 1) / 21) FROM kws WHERE rank <= 20),
         s AS (SELECT doc_id, phrase, round(sum(v), 6) AS score FROM v GROUP BY 1, 2)
         SELECT * FROM (SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM s) WHERE rank <= 10""",
+    "model_metrics": _model_metrics_sql(),
+    "model_keyword_quality": _RAKE + _MODEL_LISTS + _MODEL_QUALITY.format(words=_WORDS),
     "frequency_tags": _RAKE + "SELECT doc_id, phrase, score, rank FROM freq WHERE rank <= 12",
     "tfidf_tags": _RAKE + _TERMS + "SELECT doc_id, term AS tag, score, tf, df, weight, in_topic AS from_topic, rank FROM (" + _tags_sql(_TF + " * weight" + _TOPIC, 12) + ")",
     "bm25_tags": _RAKE + _TERMS + "SELECT doc_id, term AS tag, score, tf, df, weight, in_topic AS from_topic, rank FROM (" + _tags_sql(_BM + _TOPIC, 12) + ")",
