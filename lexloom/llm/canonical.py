@@ -69,23 +69,34 @@ class _Node:
     def __init__(self):
         self.kids: dict[str, _Node] = {}
         self.ids: tuple[int, ...] = ()
-        self.shortest, self.longest = 1 << 30, 0
+        self.shortest, self.longest = 0, 1 << 30
 
 
 def _compile(keys: Iterable[tuple[str, int]]) -> _Node:
     root = _Node()
     for key, i in keys:
-        node, left = root, len(key)
-        node.shortest, node.longest = min(node.shortest, left), max(node.longest, left)
+        node = root
         for c in key:
-            node = node.kids.setdefault(c, _Node())
-            left -= 1
-            node.shortest, node.longest = min(node.shortest, left), max(node.longest, left)
+            after = node.kids.get(c)
+            if after is None:
+                after = node.kids[c] = _Node()
+            node = after
         if i not in node.ids:
             node.ids += (i,)
     return root
 
 
+def _bound(root: _Node) -> _Node:
+    """Notes at each place the fewest and most characters to an end below."""
+    places = [root]
+    for node in places:
+        places.extend(node.kids.values())
+    for node in reversed(places):  # ends before the ways to them
+        node.shortest = min([0] * bool(node.ids) + [k.shortest + 1 for k in node.kids.values()], default=0)
+        node.longest = max((k.longest + 1 for k in node.kids.values()), default=0)
+    return root
+
+
 class CanonicalTrie:
     """The compiled list; ``entries``: (id, name, aliases or None)."""
 
@@ -145,8 +156,10 @@ class CanonicalTrie:
         for key, ids in self.exact.items():
             for i in ids:
                 self.keys.setdefault(i, []).append(key)
-        self.root = _compile((key, i) for key, ids in self.exact.items() for i in ids)
+        self.root = _bound(_compile((key, i) for key, ids in self.exact.items() for i in ids))
+        self.back = _bound(_compile((key[::-1], i) for key, ids in self.exact.items() for i in ids))
         self.below: dict[str, _Node] = {}  # the tries of the entries that have a word, made when first searched
+        self.known: dict[tuple[str, ...], int] = {}  # levelled values that were matched already
         self.reach = max(map(len, self.exact), default=0) + distance_for(1 << 20)
 
     def _spellings(self, word: str, at: int = 0) -> Iterator[str]:
@@ -177,6 +190,22 @@ class CanonicalTrie:
     def search(self, key: str, most: int, root: _Node | None = None) -> dict[int, int]:
         """All entries (below ``root``, where given) within ``most`` edits of the key (insertions, deletions, changes, exchanges of neighbours), with their distance.
 
+        The whole list is searched from both ends: of up to ``most`` edits
+        either at most half lie in the key's first half, or fewer than half in
+        its second, so few ways are open near the root of either trie.
+        """
+        if root is not None or not most:
+            return self._walk(key, most, root or self.root, most)
+        early = (most - 1) // 2
+        found = self._walk(key, most, self.root, early)
+        for i, e in self._walk(key[::-1], most, self.back, most - 1 - early).items():
+            found[i] = min(e, found.get(i, 99))
+        return found
+
+    @staticmethod
+    def _walk(key: str, most: int, root: _Node, early: int) -> dict[int, int]:
+        """Entries within ``most`` edits, of which at most ``early`` lie in the first half of the key.
+
         Bit j of state e says that j characters of the key may be consumed with
         e edits; the states move along the trie, and a branch ends when all
         are empty, or what is left of the key differs from every way to the
@@ -187,26 +216,28 @@ class CanonicalTrie:
         for j, c in enumerate(key):
             masks[c] = masks.get(c, 0) | 1 << j
         full, goal = (1 << n + 1) - 1, 1 << n
+        late = full & ~((1 << n // 2) - 1)
+        allowed = [full if e <= early else late for e in range(most + 1)]
         start = [1]
         for e in range(most):
-            start.append(start[-1] | start[-1] << 1 & full)
+            start.append((start[-1] | start[-1] << 1) & allowed[e + 1])
         found: dict[int, int] = {}
-        stack = [(root or self.root, tuple(start), None, 0)]
+        stack = [(root, tuple(start), None, 0)]
         while stack:
             node, states, before, mask_before = stack.pop()
             for c, child in node.kids.items():
                 m = masks.get(c, 0)
-                last = (states[0] & m) << 1
+                last = any_state = (states[0] & m) << 1
                 new = [last]
                 for e in range(1, most + 1):
                     low = states[e - 1]
-                    s = (states[e] & m) << 1 | low | (low << 1 & full) | (last << 1 & full)
+                    s = (states[e] & m) << 1 | low | low << 1 | last << 1
                     if before is not None:  # exchange of neighbours: the key has c and the parent's character in turn
-                        s |= (before[e - 1] & m & mask_before >> 1) << 2 & full
-                    new.append(s)
-                    last = s
-                least = n - child.longest - most
-                if not last >> max(0, least) or not last & (1 << max(0, n - child.shortest + most + 1)) - 1:
+                        s |= (before[e - 1] & m & mask_before >> 1) << 2
+                    last = s & allowed[e]
+                    any_state |= last
+                    new.append(last)
+                if not any_state or not any_state >> max(0, n - child.longest - most) or not any_state & (1 << max(0, n - child.shortest + most + 1)) - 1:
                     continue
                 if child.ids:
                     for e, s in enumerate(new):
@@ -215,20 +246,23 @@ class CanonicalTrie:
                                 if found.get(i, 99) > e:
                                     found[i] = e
                             break
-                stack.append((child, tuple(new), states, m))
+                if child.kids:
+                    stack.append((child, tuple(new), states, m))
         return found
 
     def _root_for(self, words: list[str]) -> _Node | None:
         """Trie of the entries that may be meant: those with the rarest of the typed words that the list has.
 
         None where no entry can be: a typed word is a name of its own, built
-        of the list's syllables but not in it.
+        of the list's syllables but not in it, or no entry has all the words.
         """
         known = [w for w in words if w in self.forms]
         if any(w not in self.forms and self.well_formed(w) for w in words):
             return None
         if not known:
             return self.root
+        if not set.intersection(*(self.having[w] for w in known)):  # no entry has all of them
+            return None
         rarest = min(known, key=lambda w: (len(self.having[w]), w))
         if rarest not in self.below:
             self.below[rarest] = _compile((key, i) for i in sorted(self.having[rarest]) for key in self.keys[i])
@@ -252,8 +286,15 @@ class CanonicalTrie:
         """
         if not text:
             return 0
-        forms = [f for f in typed_forms(text) if len(squeeze(f)) <= self.reach]  # a longer one is within the distance of no key
-        forms += [x for f in forms for x in self.expanded(f)]
+        forms = tuple(f for f in typed_forms(text) if len(squeeze(f)) <= self.reach)  # a longer one is within the distance of no key
+        if forms not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[forms] = self._meaning_of(forms)
+        return self.known[forms]
+
+    def _meaning_of(self, forms: tuple[str, ...]) -> int:
+        forms += tuple(x for f in forms for x in self.expanded(f))
         for form in forms:
             hit = self.exact.get(squeeze(form))
             if hit:
@@ -264,7 +305,7 @@ class CanonicalTrie:
             root = self._root_for(words) if distance_for(len(key)) else None
             if root is None:
                 continue
-            found = self.search(key, distance_for(len(key)), root)
+            found = self.search(key, distance_for(len(key)), None if root is self.root else root)
             kept = [(e, i) for i, e in found.items() if e and any(self._fits(words, has) for has in self.of[i])]
             least = min(kept, default=(0, 0))[0]
             nearest = [i for e, i in kept if e == least]

@@ -119,3 +119,23 @@ def test_candidate_table(spark):
     want = {(v, i, e) for v in ("Kilsensa Schedulr", "Backup Manager", "", "zzz") for i, e in TRIE.candidates(v) or [(None, None)]}
     assert got == want and ("Kilsensa Schedulr", 2, 1) in got and ("zzz", None, None) in got
     assert canonical.candidate_entries(entities.limit(0), canon).count() == 0
+
+
+def test_search_from_both_ends_is_edit_distance():
+    rng = random.Random(4)
+    keys = list(TRIE.exact)
+    for _ in range(120):
+        key = list(rng.choice(keys))
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(key))
+            rng.choice([lambda: key.insert(i, "x"), lambda: key.pop(i), lambda: key.__setitem__(i, "q"), lambda: key.__setitem__(slice(i, i + 2), key[i : i + 2][::-1])])()
+        key = "".join(key)
+        for most in (1, 2, 3):
+            want = {}
+            for k, ids in TRIE.exact.items():
+                d = canonical.edits(key, k)
+                if d <= most:
+                    for i in ids:
+                        want[i] = min(d, want.get(i, 9))
+            assert TRIE.search(key, most) == want
+    assert canonical.CanonicalTrie([(1, "x" * 3000, None)]).meaning("x" * 3000) == 1
