@@ -278,9 +278,9 @@ ORACLE = {
     "chunk_report": f"WITH {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, round(avg(length(text)), 6) AS mean_chars, max(length(text)) AS longest, sum({_QUOTED}::INT)::BIGINT AS n_quoted, round(sum({_QUOTED}::INT) / count(*), 6) AS mapping_rate FROM ch GROUP BY 1",
     "chunk_histogram": f"WITH {_CHUNKS} SELECT length(text) // 100 * 100 AS bucket, count(*) AS n FROM ch WHERE text IS NOT NULL GROUP BY 1",
     "rag_export": f"WITH {_CHUNKS} SELECT doc_id || '__c' || printf('%04d', chunk_index) AS chunk_key, '[title: ' || coalesce(title, '-') || ' | genre: ' || coalesce(genre, '-') || ']' || chr(10) || coalesce(text, '') AS body FROM ch",
-    "report_markdown": "WITH " + _QLOG.format("question := question, a := portal_answer_snippet, s := analysis_summary") + f""", r AS (SELECT entry_id, {_TRIM.format('b.question')} AS q, {_TRIM.format("CASE WHEN length(b.a) > 80 THEN left(b.a, 80) || ' ...' ELSE b.a END")} AS a, {_TRIM.format('b.s')} AS s FROM q)
+    "report_markdown": "WITH " + _QLOG.format("question := question, a := portal_answer_snippet, s := analysis_summary") + f""", r AS (SELECT entry_id, {_TRIM.format('b.question')} AS q, {_TRIM.format('b.a')} AS a, {_TRIM.format('b.s')} AS s FROM q)
         SELECT entry_id, concat_ws(chr(10), '## Question', coalesce(nullif(q, ''), '-'), '## Answer', coalesce(nullif(a, ''), '-'), '## Analysis', coalesce(nullif(s, ''), '-')) AS report FROM r""",
-    "front_matter": "SELECT doc_id, '---' || chr(10) || 'title: ' || coalesce(title, '') || chr(10) || 'genre: ' || coalesce(genre, '') || chr(10) || 'chars: ' || coalesce(n_chars::VARCHAR, '') || chr(10) || '---' || chr(10) || chr(10) || coalesce(CASE WHEN length(text) > 200 THEN left(text, 200) || ' ...' ELSE text END, '') AS markdown FROM documents",
+    "front_matter": "SELECT doc_id, '---' || chr(10) || 'title: ' || coalesce(title, '') || chr(10) || 'genre: ' || coalesce(genre, '') || chr(10) || 'chars: ' || coalesce(n_chars::VARCHAR, '') || chr(10) || '---' || chr(10) || chr(10) || coalesce(text, '') AS markdown FROM documents",
     "genre_dashboard": f"SELECT coalesce(genre, 'none') AS genre, coalesce(lang, 'none') AS lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS chars, sum((coalesce(length({_TRIM.format('text')}), 0) = 0)::INT)::BIGINT AS n_empty, floor(epoch(max(modified_at)))::BIGINT AS last_modified FROM documents GROUP BY 1, 2",
     "topic_groups": f"SELECT left({_TRIM.format('title')}, 50) AS topic, count(*) AS n FROM documents WHERE length({_TRIM.format('title')}) > 0 GROUP BY 1 ORDER BY n DESC, topic LIMIT 10",
     "confidence_buckets": Q._CONSENSUS + "SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'mid' ELSE 'low' END AS bucket, count(*) AS n, sum(fallback::INT)::BIGINT AS n_fallback FROM cons GROUP BY 1",

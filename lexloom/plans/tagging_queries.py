@@ -260,7 +260,7 @@ def _list(words) -> str:
 _LANG = "CASE WHEN regexp_matches(text, '[가-힣]') THEN 'ko' ELSE 'en' END"
 _RAKE = _POST.rstrip() + rf"""
 , rp AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(list_transform(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_ ]+', ' | ', 'g'), ' +'),
-         lambda w: CASE WHEN list_contains({_list(K.STOPWORDS)}, w) THEN '|' ELSE w END), ' '), '|'), lambda p: trim(p)), lambda p: length(p) >= 2 AND len(string_split(p, ' ')) <= 3) AS p FROM documents WHERE length(text) <= 50000),
+         lambda w: CASE WHEN list_contains({_list(K.STOPWORDS)}, w) THEN '|' ELSE w END), ' '), '|'), lambda p: trim(p)), lambda p: length(p) >= 2 AND len(string_split(p, ' ')) <= 3) AS p FROM documents),
 rph AS (SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(p) AS phrase FROM rp) GROUP BY 1, 2),
 rws AS (SELECT doc_id, word, sum(n * m) / sum(n) AS ws FROM (SELECT doc_id, n, len(string_split(phrase, ' ')) AS m, unnest(string_split(phrase, ' ')) AS word FROM rph) GROUP BY 1, 2),
 rsum AS (SELECT doc_id, phrase, round(sum(ws), 6) AS raw FROM (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS word FROM rph) JOIN rws USING (doc_id, word) GROUP BY 1, 2),

@@ -117,7 +117,7 @@ ORACLE = {
         ), joined AS (
             SELECT doc_id, missing, array_to_string(list_filter(lines, lambda x, i: list_position(lines, x) = i), chr(10)) AS t FROM kept
         )
-        SELECT doc_id, CASE WHEN missing THEN NULL WHEN length(t) > 12000 THEN left(t, 12000) || chr(10) || '...(truncated)' ELSE t END AS cleaned FROM joined""",
+        SELECT doc_id, CASE WHEN missing THEN NULL ELSE t END AS cleaned FROM joined""",
     "clean_controls": r"""
         WITH t AS (
             SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\n\r\t]', ' ', 'g'), '\p{C}', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM chunks
