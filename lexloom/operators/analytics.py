@@ -55,3 +55,18 @@ def front_matter(fields: dict[str, Column], body: Column) -> Column:
     """Markdown document with YAML front matter."""
     lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in fields.items()]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.coalesce(body, F.lit("")))
+
+
+def viewer_filter(docs: DataFrame, genre: str | None = None, language: str | None = None, has_topic: bool | None = None, tag: str | None = None) -> DataFrame:
+    """Rows of (genre, lang, topic, tags array) that pass every given filter; ``tag`` is a part of a tag in any case."""
+    out = docs
+    if genre is not None:
+        out = out.where(F.col("genre") == genre)
+    if language is not None:
+        out = out.where(F.col("lang") == language)
+    if has_topic is not None:
+        there = F.coalesce(F.length(trim_space(F.col("topic"))) > 0, F.lit(False))
+        out = out.where(there if has_topic else ~there)
+    if tag:
+        out = out.where(F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(tag.lower()))))
+    return out

@@ -32,7 +32,7 @@ def _spans(text: str, pattern: re.Pattern, start: int = 0, stop: int | None = No
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def pack(text: str, target: int = 512, least: int = 128, overlap: int = 96, genre: str | None = None, topic: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+def pack(text: str, target: int = 512, least: int = 128, overlap: int = 96, genre: str | None = None, topic: frozenset[str] = frozenset(), compat: bool = False) -> list[tuple[int, int, str]]:
     """Chunks (start, end, text) of a normalised text; no part of it is lost.
 
     Units come from the genre's markers (paragraphs where there are none) and
@@ -41,6 +41,9 @@ def pack(text: str, target: int = 512, least: int = 128, overlap: int = 96, genr
     unit with a word of the topic starts a new chunk once the chunk is long
     enough.  Each chunk after the first is preceded by the end of the chunk
     before it; offsets don't count that.
+
+    ``compat`` loses what the described packer loses: a chunk that is long
+    enough but under 1,024 characters is overwritten by the next unit.
     """
     f, g = _SCALE.get(genre or "", (1.0, 1.0))
     target, least = int(target * f), int(least * g)
@@ -59,6 +62,9 @@ def pack(text: str, target: int = 512, least: int = 128, overlap: int = 96, genr
             if not fresh and (joined <= min(target, MAX_CHARS) or (size < least and joined <= MAX_CHARS)):
                 out[-1][1] = b
                 continue
+            if compat and not fresh and least <= size < MAX_CHARS:
+                out[-1] = [a, b]
+                continue
         out.append([a, b])
     bodies = [text[a:b].strip() for a, b in out]
     return [(a, b, (bodies[i - 1][-overlap:] + "\n\n" + bodies[i]) if i and overlap else bodies[i]) for i, (a, b) in enumerate(out)]
@@ -115,6 +121,20 @@ def markdown_chunks(text: str, most: int = 1400, least: int = 180) -> list[str]:
     return merged
 
 
+def chunk_markdown(docs: DataFrame, most: int = 1400, least: int = 180) -> DataFrame:
+    """(doc_id, chunk_index, text): :func:`markdown_chunks` of (doc_id, text); null and blank texts have no chunk."""
+    src = docs.where(F.length(F.trim("text")) > 0).select(F.col("doc_id").alias("_id"), "text")
+    kind = src.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [(i, k, p) for i, t in enumerate(batch.column(1).to_pylist()) for k, p in enumerate(markdown_chunks(t, most, least))]
+            rows, numbers, texts = zip(*pieces) if pieces else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "chunk_index", "text"])
+
+    return src.mapInArrow(run, f"doc_id {kind}, chunk_index int, text string")
+
+
 def chunk_report(chunks: DataFrame) -> DataFrame:
     """(doc_id, n_chunks, mean_chars, longest, n_quoted, mapping_rate) of (doc_id, chunk_id, text, quoted boolean)."""
     n = F.count("*")

@@ -42,3 +42,16 @@ def tag_union(items: DataFrame, parent: str, tag: Column) -> DataFrame:
 def work_order(queue: DataFrame) -> DataFrame:
     """Unlabelled images first, then by id."""
     return queue.orderBy(F.coalesce("labeled", F.lit(False)), "image_id")
+
+
+def payload_with_queue(payload: DataFrame, queue: DataFrame, key: str = "image_id", doc: str = "doc_id", parent: str = "parent_doc_id") -> DataFrame:
+    """(doc, n_payload, n_queued, n_both): images by document, whether the payload, the queue or both have them.
+
+    A full outer join on the image; the document is the payload's, else the
+    queue's.  Images without an id belong to neither.
+    """
+    ours = payload.where(F.col(key).isNotNull()).select(key, F.col(doc).alias("_d")).groupBy(key).agg(F.min("_d").alias("_d")).withColumn("_p", F.lit(1))
+    theirs = queue.where(F.col(key).isNotNull()).select(key, F.col(parent).alias("_e")).groupBy(key).agg(F.min("_e").alias("_e")).withColumn("_q", F.lit(1))
+    both = ours.join(theirs, key, "full_outer")
+    n = lambda c: F.count(c)
+    return both.groupBy(F.coalesce("_d", "_e").alias(doc)).agg(n("_p").alias("n_payload"), n("_q").alias("n_queued"), F.count_if(F.col("_p").isNotNull() & F.col("_q").isNotNull()).alias("n_both"))

@@ -208,3 +208,9 @@ def diverse(votes: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.list_(pa.string()))], names=["doc_id", "kw"])
 
     return lists.mapInArrow(run, f"doc_id {kind}, kw array<string>")
+
+
+def fallback_keywords(docs: DataFrame, keywords: DataFrame, tokens: Column, k: int = 100) -> DataFrame:
+    """(doc_id, kw array): the first ``k`` distinct tokens of the documents for which an extractor gave nothing."""
+    left = docs.join(keywords.select("doc_id").distinct(), "doc_id", "left_anti")
+    return left.select("doc_id", F.slice(F.array_distinct(tokens), 1, k).alias("kw")).where(F.size("kw") > 0)

@@ -116,3 +116,16 @@ def rerank(bm: DataFrame, kw: DataFrame, top: int = 100, weight: float = 0.1, k:
     scored = c.select("qid", "doc_id", "stage", score.alias("score"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(*order, F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def pad(run: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 1000) -> DataFrame:
+    """The run (qid, doc_id, score, rank) filled up to ``k`` documents a query with documents that score 0, in the order of their ids.
+
+    The first ``k`` ids suffice for every query, so they go along as one list
+    of at most ``k`` entries.
+    """
+    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(k).agg(F.array_sort(F.collect_list("doc_id"))).scalar()
+    rest = queries.select("qid", F.explode(first).alias("doc_id")).join(run.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    every = run.select("qid", "doc_id", "score", "rank").unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("rank").asc_nulls_last(), "doc_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)

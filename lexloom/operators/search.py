@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.constants import SEARCH_WEIGHTS
@@ -50,6 +51,73 @@ def stage1(index: DataFrame, query: str, genres: DataFrame | None = None, genre:
     return scored.orderBy(F.desc("score"), "doc_id").limit(top)
 
 
+def _grams(text: Column) -> Column:
+    """Distinct single characters and pairs of neighbours: whatever a text holds begins with one of them."""
+    n = F.length(text)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(1)))
+    two = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(2)))
+    return F.when(n > 0, F.array_distinct(F.concat(one, two))).otherwise(F.array().cast("array<string>"))
+
+
+def _query_words(queries: DataFrame) -> DataFrame:
+    """(qid, low, words): queries in lower case with their distinct words; blank ones are left out."""
+    low = queries.select("qid", F.lower("query").alias("low"))
+    return low.withColumn("words", F.array_distinct(F.filter(F.split("low", r"\s+"), lambda w: w != ""))).where(F.size("words") > 0)
+
+
+def stage1_many(index: DataFrame, queries: DataFrame, top: int = 100) -> DataFrame:
+    """(qid, doc_id, score, rank): :func:`stage1` for a table of queries (qid, query).
+
+    Distinct tags and queries meet in a hash join on the first two characters
+    of what one must hold of the other, and only those pairs are tested; the
+    index is joined once with the tags that any query matches.
+    """
+    q = _query_words(queries)
+    tags = index.select("tag").distinct()
+    words = q.select("qid", "low", F.explode("words").alias("w")).withColumn("_g", F.substring("w", 1, 2))
+    by_word = words.join(tags.select("tag", F.explode(_grams(F.col("tag"))).alias("_g")), "_g").where(F.contains("tag", "w")).select("qid", "low", "tag")
+    tokens = tags.select("tag", F.explode(F.filter(F.split("tag", " "), lambda t: t != "")).alias("t")).withColumn("_g", F.substring("t", 1, 2))
+    by_token = tokens.join(q.select("qid", "low", F.explode(_grams(F.col("low"))).alias("_g")), "_g").where(F.contains("low", "t")).select("qid", "low", "tag")
+    kind = F.when(F.col("tag") == F.col("low"), 2.0).when(F.contains("tag", "low") | F.contains("low", "tag"), 1.5).otherwise(1.0)
+    matched = by_word.unionByName(by_token).distinct().select("qid", "tag", kind.alias("_k"))
+    part = F.col("tag_score") * F.when(F.col("from_topic"), 1.5).otherwise(1.0) * F.col("_k")
+    scored = index.join(matched, "tag").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def search_many(docs: DataFrame, index: DataFrame, queries: DataFrame, boosts: DataFrame | None = None, top: int = 100, limit: int = 20) -> DataFrame:
+    """(qid, doc_id, base_score, feedback_boost, score, reasons, rank): both stages for a table of queries (qid, query); points as in :func:`stage2`."""
+    q = _query_words(queries)
+    first = stage1_many(index, queries, top).select("qid", "doc_id")
+    j = docs.join(first, "doc_id").join(q, "qid")
+    topic, title, text = (F.lower(F.coalesce(c, F.lit(""))) for c in ("topic", "title", "text"))
+    low = F.col("low")
+    some = lambda c: F.exists("words", lambda w: F.contains(c, w))
+    tag = lambda t: F.when(F.lower(t) == low, 20.0).when(F.contains(F.lower(t), low) | F.contains(low, F.lower(t)), 10.0).when(F.exists("words", lambda w: F.contains(F.lower(t), w)), 5.0).otherwise(0.0)
+    of_topic = F.when(F.contains(topic, low), 100.0).when(some(topic), 50.0).otherwise(0.0)
+    of_title = F.when(F.contains(title, low), 30.0).when(some(title), 15.0).otherwise(0.0)
+    of_tags = F.aggregate(F.transform("tags", tag), F.lit(0.0), lambda a, x: a + x)
+    weight = F.lit(1.0)
+    for g, by in SEARCH_WEIGHTS.items():
+        weight = F.when(F.col("genre") == g, F.coalesce(*[F.when(low.contains(k), float(v)) for k, v in by.items()], F.lit(1.0))).otherwise(weight)
+    points = j.select("qid", "doc_id", of_topic.alias("p"), of_title.alias("t"), of_tags.alias("g"), F.contains(text, low).alias("whole"), some(text).alias("some"), weight.alias("w")).where("p + t + g > 0")
+    base = (F.col("p") + F.col("t") + F.col("g") + F.when(F.col("whole"), 5.0).when(F.col("some"), 1.0).otherwise(0.0)) * F.col("w")
+    scored = points.select("qid", "doc_id", base.alias("_b"), F.array_join(_reasons(), ",").alias("reasons"))
+    if boosts is not None:
+        scored = scored.join(boosts.select("doc_id", F.col("boost").alias("feedback_boost")), "doc_id", "left")
+    else:
+        scored = scored.withColumn("feedback_boost", F.lit(1.0))
+    boosted = scored.withColumn("feedback_boost", F.coalesce("feedback_boost", F.lit(1.0))).withColumn("score", F.round(F.col("_b") * F.col("feedback_boost"), 2))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
+    return boosted.withColumn("rank", rank).where(F.col("rank") <= limit).select("qid", "doc_id", F.round("_b", 2).alias("base_score"), "feedback_boost", "score", "reasons", "rank")
+
+
+def _reasons() -> Column:
+    parts = (F.when(F.col("p") == 100, "topic").when(F.col("p") == 50, "topic part"), F.when(F.col("t") == 30, "title").when(F.col("t") == 15, "title part"), F.when(F.col("g") > 0, "tags"), F.when(F.col("whole"), "text"))
+    return F.filter(F.array(*parts), lambda r: r.isNotNull())
+
+
 def query_weight(genre: Column, query: str) -> Column:
     """Weight of a document's genre for a query: that of the first of the genre's words in it, 1.0 for none."""
     low, out = query.lower(), F.lit(1.0)
@@ -79,8 +147,7 @@ def stage2(docs: DataFrame, query: str, boosts: DataFrame | None = None, limit:
     first = docs.select("doc_id", "genre", of_topic.alias("p"), of_title.alias("t"), of_tags.alias("g"), text.contains(low).alias("whole"), has(text).alias("some")).where("p + t + g > 0")
     body = F.when(F.col("whole"), 5.0).when(F.col("some"), 1.0).otherwise(0.0)
     base = (F.col("p") + F.col("t") + F.col("g") + body) * query_weight(F.col("genre"), query)
-    reasons = F.filter(F.array(F.when(F.col("p") == 100, "topic").when(F.col("p") == 50, "topic part"), F.when(F.col("t") == 30, "title").when(F.col("t") == 15, "title part"), F.when(F.col("g") > 0, "tags"), F.when(F.col("whole"), "text")), lambda r: r.isNotNull())
-    scored = first.select("doc_id", F.round(base, 2).alias("base_score"), base.alias("_b"), F.array_join(reasons, ",").alias("reasons"))
+    scored = first.select("doc_id", F.round(base, 2).alias("base_score"), base.alias("_b"), F.array_join(_reasons(), ",").alias("reasons"))
     if boosts is not None:
         scored = scored.join(boosts.select("doc_id", F.col("boost").alias("feedback_boost")), "doc_id", "left")
     else:

@@ -25,11 +25,11 @@ def timelines(events: DataFrame, entity: str, event_id: str, at: str, kind: str,
     else ``unknown``.  Rows beyond the last ``most`` are cut before anything is
     gathered, so an entity with any number of events makes a bounded list.
     """
-    status = events.where(F.col(kind).isin(issue, resolution)).groupBy(entity).agg(F.max_by(F.col(kind), F.struct(at, event_id)).alias("_last"))
-    total = events.groupBy(entity).agg(F.count("*").alias("n_events"))
+    last = F.max(F.when(F.col(kind).isin(issue, resolution), F.struct(at, event_id, F.col(kind).alias("k"))))
+    figures = events.groupBy(entity).agg(F.count("*").alias("n_events"), last["k"].alias("_last"))
     recent = events.withColumn("_r", F.row_number().over(W.partitionBy(entity).orderBy(F.desc(at), F.desc(event_id)))).where(F.col("_r") <= most)
     lists = recent.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(event_id).alias("id"), F.col(kind).alias("kind")))).alias("timeline"))
-    return lists.join(total, entity).join(status, entity, "left").select(entity, "n_events", F.when(F.col("_last") == issue, "active").otherwise("unknown").alias("status"), "timeline")
+    return lists.join(figures, entity).select(entity, "n_events", F.when(F.col("_last") == issue, "active").otherwise("unknown").alias("status"), "timeline")
 
 
 def linked_artifacts(entities: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -60,3 +60,21 @@ def with_status(queue: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Queue rows with the status of their latest result (key, at, ok): PENDING, DONE or FAILED."""
     last = results.groupBy(key).agg(F.max(F.struct("at", "ok")).alias("_l"))
     return queue.join(last, key, "left").withColumn("status", F.when(F.col("_l").isNull(), "PENDING").when(F.col("_l.ok"), "DONE").otherwise("FAILED")).drop("_l")
+
+
+def category_overlay(log: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, manual, auto): the categories in force of an append-only log (key, at, category, by 'manual' or 'auto').
+
+    Of each kind the last row of a key counts (ties by the greatest category);
+    a null category takes an earlier one back.
+    """
+    pick = lambda by: F.max(F.when(F.col("by") == by, F.struct("at", F.coalesce("category", F.lit("")).alias("category"))))["category"]
+    clear = lambda c: F.when(F.col(c) != "", F.col(c))
+    return log.where(F.col(key).isNotNull()).groupBy(key).agg(pick("manual").alias("manual"), pick("auto").alias("auto")).select(key, clear("manual").alias("manual"), clear("auto").alias("auto"))
+
+
+def edit_categories(categories: DataFrame, log: DataFrame, fixed: str = "기타") -> DataFrame:
+    """(name): the list of categories after a log (name, at, op 'add' or 'remove'); the last operation on a name counts, and ``fixed`` can't be removed."""
+    last = log.where(F.col("name").isNotNull()).groupBy("name").agg(F.max(F.struct("at", "op"))["op"].alias("op"))
+    names = categories.select("name").union(last.where("op = 'add'").select("name")).distinct()
+    return names.join(last.where((F.col("op") == "remove") & (F.col("name") != fixed)).select("name"), "name", "left_anti")

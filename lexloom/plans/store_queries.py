@@ -11,9 +11,11 @@ from lexloom.operators import images as M
 from lexloom.operators import postings as P
 from lexloom.operators import search as S
 from lexloom.operators import store as ST
+from lexloom.plans import retrieval_queries as R
 from lexloom.plans import tagging_queries as Q
 from lexloom.session import spread, table
 
+SPACE = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]+"
 AS_OF = "2024-01-31 00:00:00"
 QUERY = "server 로그파일"
 ISSUE_QUERY = "server error"
@@ -190,6 +192,80 @@ def evidence_hits(spark, d):
     return _quoted(spark, d).where("quoted").select("chunk_id", "doc_id", F.expr("instr(lower(text), lower(substring(title, 1, 12))) - 1").alias("at"))
 
 
+def search_many(spark, d):
+    """Both search stages for every hundredth document's title, its first two words, against all documents."""
+    words = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != "")
+    queries = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+    return S.search_many(_index(spark, d), S.tag_index(_tags(spark, d)), queries, S.feedback_boosts(_feedback(spark, d), AS_OF))
+
+
+def index_updated(spark, d):
+    """Index of the tags after documents of one source were deleted and those of one genre ingested anew with their first six tags."""
+    tags = _tags(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "genre", "doc_type")
+    fresh = S.tag_index(tags.where("rank <= 6").join(docs.where("genre = 'report'").select("doc_id"), "doc_id", "left_semi"))
+    return S.update_index(S.tag_index(tags), fresh, docs.where("doc_type = 'pdf' AND coalesce(genre, '') <> 'report'").select("doc_id"))
+
+
+def viewer_filters(spark, d):
+    """Documents in English with a topic and a tag that holds 'ser'."""
+    docs = _index(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return A.viewer_filter(docs, language="en", has_topic=True, tag="SER").select("doc_id", F.array_join("tags", "|").alias("tags"))
+
+
+def category_log(spark, d):
+    """Categories in force of every subject: views and clicks set the automatic one, purchases the manual one, errors take it back."""
+    log = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at"), F.when(F.col("event_type") != "error", F.concat("event_type", F.lit("-"), F.floor("value").cast("string"))).alias("category"), F.when(F.col("event_type").isin("purchase", "error"), "manual").otherwise("auto").alias("by"))
+    return ST.category_overlay(log)
+
+
+def category_list(spark, d):
+    """Event types as a list of categories after a log of additions and removals by subject."""
+    events = table(spark, d, "events")
+    log = events.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("name"), F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "error", "remove").when(F.col("value") < 50, "remove").otherwise("add").alias("op"))
+    return ST.edit_categories(events.select(F.concat(F.col("event_type"), F.lit("-0")).alias("name")).distinct(), log, "click-0")
+
+
+def artifacts_outer(spark, d):
+    """Artifacts by document as the chunks have them, as the entities name them, or both; those of no chunk have no document."""
+    named = table(spark, d, "entities").select(F.explode(F.array("provenance.first_seen_artifact_id", "provenance.last_seen_artifact_id")).alias("image_id")).distinct().withColumn("parent_doc_id", F.lit(None).cast("string"))
+    return M.payload_with_queue(table(spark, d, "chunks").select(F.col("artifact_id").alias("image_id"), "doc_id").distinct(), named)
+
+
+def labels_merged(spark, d):
+    """Subjects of events as an image queue: the last event is the last label, one with an error is ignored."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("image_id"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("label"), (F.col("event_type") == "error").alias("ignored"))
+    queue = table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"))
+    return M.merge_labels(queue, events).groupBy("labeled", "ignored", "label").agg(F.count("*").alias("n"))
+
+
+def withdrawn_states(spark, d):
+    """Saved states whose batch is no longer in the input, once the last batch was withdrawn."""
+    corpus = table(spark, d, "corpus").select("batch_id")
+    kept = corpus.where(F.col("batch_id") < corpus.agg(F.max("batch_id")).scalar())
+    return ST.gone_rows(table(spark, d, "tagging_state").select("state_id", "batch_id").distinct(), kept, "batch_id")
+
+
+def chunk_coverage(spark, d):
+    """Characters other than white space that the chunks of every document hold, overlaps not counted."""
+    texts = spread(table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("whole")))
+    spans = chunks_made(spark, d).select("doc_id", "start_offset", "end_offset")
+    body = F.expr("substring(whole, start_offset + 1, end_offset - start_offset)")
+    return spans.join(texts, "doc_id").groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(body, SPACE, ""))).alias("n_chars"))
+
+
+def markdown_pieces(spark, d):
+    """Every document as Markdown pieces of packed paragraphs."""
+    return H.chunk_markdown(spread(table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))))
+
+
+def document_quotes(spark, d):
+    """Chunks that hold whole sentences of documents, with the number of those sentences and the first document; sentences are counted by document before they meet the chunks."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(R._sentences(F.col("text"))).alias("s")).groupBy("s").agg(F.min("doc_id").alias("first"))
+    chunks = _distinct_chunks(spark, d).select("chunk_id", F.explode(R._sentences(F.col("text"))).alias("s"))
+    return chunks.join(docs, "s").groupBy("chunk_id").agg(F.count("*").alias("n_quotes"), F.min("first").alias("first_doc"))
+
+
 def item_counters(spark, d):
     """Chunks of every document, those without a genre and those without text."""
     return M.counters(_distinct_chunks(spark, d), "doc_id", F.col("genre").isNotNull(), F.length(F.trim("text")) > 0)
@@ -201,7 +277,7 @@ def item_tags(spark, d):
     return tags.select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (tag_index, document_index, stage1_filter, two_stage_search, legacy_search, topic_search, feedback_boost, entity_latest, entity_timeline, linked_artifacts, incremental_new_docs, deleted_states, gap_queue, pending_questions, chunk_policy, chunks_made, evidence_hits, chunk_report, chunk_histogram, rag_export, report_markdown, front_matter, genre_dashboard, topic_groups, confidence_buckets, algorithm_usage, tags_per_genre, item_counters, item_tags)}
+QUERIES = {f.__name__: f for f in (tag_index, document_index, stage1_filter, two_stage_search, legacy_search, topic_search, search_many, index_updated, viewer_filters, category_log, category_list, artifacts_outer, labels_merged, withdrawn_states, chunk_coverage, markdown_pieces, document_quotes, feedback_boost, entity_latest, entity_timeline, linked_artifacts, incremental_new_docs, deleted_states, gap_queue, pending_questions, chunk_policy, chunks_made, evidence_hits, chunk_report, chunk_histogram, rag_export, report_markdown, front_matter, genre_dashboard, topic_groups, confidence_buckets, algorithm_usage, tags_per_genre, item_counters, item_tags)}
 
 _TAGS = Q._RAKE + Q._TERMS + ", tg AS (SELECT doc_id, term AS tag, score, in_topic AS from_topic, rank FROM (" + Q._tags_sql(Q._TF + " * weight" + Q._TOPIC, 12) + "))"
 _INDEX = _TAGS + ", ti AS (SELECT lower(tag) AS tag, doc_id, max(score) AS tag_score, max(from_topic) AS from_topic FROM tg GROUP BY 1, 2), tl AS (SELECT doc_id, list(tag ORDER BY rank) AS tags FROM tg GROUP BY 1), di AS (SELECT doc_id, title, genre, title AS topic, text, coalesce(tags, []) AS tags FROM documents LEFT JOIN tl USING (doc_id))"
@@ -245,7 +321,46 @@ _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _QUOTED = "coalesce(contains(lower(text), lower(left(title, 12))), false)"
 _TOPIC_WORDS = ["the", "server", "was"]
 
+_MANY = r"""
+, q AS (SELECT doc_id AS qid, array_to_string(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda w: w <> '')[1:2], ' ') AS low FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
+qw AS (SELECT qid, low, list_distinct(string_split(low, ' ')) AS words FROM q WHERE low <> ''),
+sm AS (SELECT qid, doc_id, round(sum(tag_score * CASE WHEN from_topic THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN tag = low THEN 2 WHEN contains(tag, low) OR contains(low, tag) THEN 1.5::DOUBLE ELSE 1 END), 6) AS score FROM ti, qw
+       WHERE len(list_filter(words, lambda w: contains(tag, w))) > 0 OR len(list_filter(string_split(tag, ' '), lambda t: t <> '' AND contains(low, t))) > 0 GROUP BY 1, 2),
+st AS (SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM sm) WHERE r <= 100),
+sj AS (SELECT qid, doc_id, genre, low, words, lower(coalesce(topic, '')) AS tp, lower(coalesce(title, '')) AS tt, lower(coalesce(text, '')) AS tx, tags FROM st JOIN di USING (doc_id) JOIN qw USING (qid)),
+sp AS (SELECT qid, doc_id, CASE WHEN contains(tp, low) THEN 100 WHEN len(list_filter(words, lambda w: contains(tp, w))) > 0 THEN 50 ELSE 0 END AS p, CASE WHEN contains(tt, low) THEN 30 WHEN len(list_filter(words, lambda w: contains(tt, w))) > 0 THEN 15 ELSE 0 END AS t,
+       coalesce(list_sum(list_transform(tags, lambda x: CASE WHEN lower(x) = low THEN 20 WHEN contains(lower(x), low) OR contains(low, lower(x)) THEN 10 WHEN len(list_filter(words, lambda w: contains(lower(x), w))) > 0 THEN 5 ELSE 0 END)), 0) AS g,
+       contains(tx, low) AS whole, len(list_filter(words, lambda w: contains(tx, w))) > 0 AS partly, {weight}::DOUBLE AS w FROM sj),
+sb AS (SELECT *, ((p + t + g + CASE WHEN whole THEN 5 WHEN partly THEN 1 ELSE 0 END) * w)::DOUBLE AS base FROM sp WHERE p + t + g > 0),
+sf AS (SELECT qid, doc_id, round(base, 2) AS base_score, coalesce(boost, 1.0::DOUBLE) AS feedback_boost, round(base * coalesce(boost, 1.0::DOUBLE), 2) AS score,
+       array_to_string(list_filter([CASE WHEN p = 100 THEN 'topic' WHEN p = 50 THEN 'topic part' END, CASE WHEN t = 30 THEN 'title' WHEN t = 15 THEN 'title part' END, CASE WHEN g > 0 THEN 'tags' END, CASE WHEN whole THEN 'text' END], lambda r: r IS NOT NULL), ',') AS reasons FROM sb LEFT JOIN boosts USING (doc_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sf) WHERE rank <= 20"""
+_MANY_WEIGHT = "CASE " + " ".join(f"WHEN genre = '{g}' THEN CASE " + " ".join(f"WHEN contains(low, '{k}') THEN {v}" for k, v in by.items()) + " ELSE 1.0 END" for g, by in S.SEARCH_WEIGHTS.items()) + " ELSE 1.0 END"
+
 ORACLE = {
+    "search_many": _INDEX + _BOOSTS + _MANY.replace("{weight}", _MANY_WEIGHT),
+    "index_updated": _INDEX + """
+        , dn AS (SELECT doc_id FROM documents WHERE genre = 'report' OR doc_type = 'pdf')
+        SELECT * FROM ti WHERE doc_id NOT IN (SELECT doc_id FROM dn) UNION ALL SELECT lower(tag), doc_id, max(score), max(from_topic) FROM tg WHERE rank <= 6 AND doc_id IN (SELECT doc_id FROM documents WHERE genre = 'report') GROUP BY 1, 2""",
+    "viewer_filters": _INDEX + r"SELECT di.doc_id, array_to_string(tags, '|') AS tags FROM di JOIN documents USING (doc_id) WHERE lang = 'en' AND coalesce(length(regexp_replace(topic, '^\s+|\s+$', '', 'g')), 0) > 0 AND len(list_filter(tags, lambda t: contains(lower(t), 'ser'))) > 0",
+    "category_log": """
+        WITH l AS (SELECT user_id AS doc_id, ts, CASE WHEN event_type <> 'error' THEN event_type || '-' || floor(value)::BIGINT::VARCHAR ELSE '' END AS c, event_type IN ('purchase', 'error') AS m FROM events WHERE user_id IS NOT NULL)
+        SELECT doc_id, nullif((max(struct_pack(ts := ts, c := c)) FILTER (m)).c, '') AS manual, nullif((max(struct_pack(ts := ts, c := c)) FILTER (NOT m)).c, '') AS auto FROM l GROUP BY 1""",
+    "category_list": """
+        WITH l AS (SELECT event_type || '-' || (user_id % 50)::VARCHAR AS name, arg_max(CASE WHEN event_type = 'error' OR value < 50 THEN 'remove' ELSE 'add' END, (ts, event_id)) AS op FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY 1)
+        SELECT DISTINCT name FROM (SELECT event_type || '-0' AS name FROM events UNION ALL SELECT name FROM l WHERE op = 'add') WHERE name NOT IN (SELECT name FROM l WHERE op = 'remove' AND name <> 'click-0')""",
+    "artifacts_outer": """
+        WITH p AS (SELECT artifact_id AS i, min(doc_id) AS d FROM chunks WHERE artifact_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT unnest([provenance.first_seen_artifact_id, provenance.last_seen_artifact_id]) AS i FROM entities), n AS (SELECT i, true AS q FROM e WHERE i IS NOT NULL)
+        SELECT d AS doc_id, count(p.i) AS n_payload, count(q) AS n_queued, count(CASE WHEN p.i IS NOT NULL AND q THEN 1 END) AS n_both FROM p FULL JOIN n ON p.i = n.i GROUP BY 1""",
+    "labels_merged": """
+        WITH l AS (SELECT user_id AS i, arg_max(event_type, (ts, event_id)) AS label FROM events WHERE user_id IS NOT NULL GROUP BY 1)
+        SELECT l.i IS NOT NULL AND NOT coalesce(label = 'error', false) AS labeled, coalesce(label = 'error', false) AS ignored, label, count(*) AS n FROM customer LEFT JOIN l ON c_custkey = l.i GROUP BY 1, 2, 3""",
+    "withdrawn_states": "SELECT DISTINCT state_id, batch_id FROM tagging_state WHERE batch_id IS NULL OR batch_id NOT IN (SELECT batch_id FROM corpus WHERE batch_id < (SELECT max(batch_id) FROM corpus))",
+    "chunk_coverage": f"SELECT doc_id, length(regexp_replace(text, '{SPACE}', '', 'g')) AS n_chars FROM documents WHERE length(trim({_TRIM.format('text')})) > 0",
+    "document_quotes": rf"""
+        WITH {_CHUNKS}, cs AS (SELECT DISTINCT chunk_id, regexp_replace(lower(s), '[^0-9a-z가-힣]+', '', 'g') AS s FROM (SELECT chunk_id, unnest(regexp_split_to_array(text, '[.!?。]\s+|[.!?。]$')) AS s FROM ch)),
+        ds AS (SELECT regexp_replace(lower(s), '[^0-9a-z가-힣]+', '', 'g') AS s, min(doc_id) AS first FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?。]\s+|[.!?。]$')) AS s FROM documents) GROUP BY 1)
+        SELECT chunk_id, count(*) AS n_quotes, min(first) AS first_doc FROM cs JOIN ds USING (s) WHERE length(s) >= 20 GROUP BY 1""",
     "tag_index": _INDEX + "SELECT * FROM ti",
     "document_index": _INDEX + "SELECT doc_id, title, genre, array_to_string(tags, '|') AS tags FROM di",
     "stage1_filter": _INDEX + _stage1_sql(QUERY) + "SELECT * FROM stage1",

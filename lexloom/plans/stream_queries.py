@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from lexloom.plans.text_queries import TAGGING_SQL
+from lexloom.session import table
 from lexloom.streaming import ingest as I
 
 
@@ -34,9 +35,27 @@ def stream_new_questions(spark, d):
     return spark.read.parquet(f"{work}/results").groupBy("ok").agg(F.count("*").alias("n"), F.sum(F.length("answer")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (stream_df_state, stream_new_questions)}
+def stream_feedback_windows(spark, d):
+    """Votes by day, as the stream's window aggregation gives them over the whole log."""
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "like").when(F.col("event_type") == "error", "dislike")
+    votes = table(spark, d, "events").select("ts", kind.alias("feedback")).where(F.col("feedback").isNotNull())
+    return I.windowed_feedback(votes).select(F.unix_timestamp("start").alias("start_s"), "feedback", "n")
+
+
+def stream_entity_status(spark, d):
+    """Status of every subject after a stream of its events, from the last state that the stream gave out."""
+    work = I.work_dir(spark, "status")
+    events = _stream(spark, d, "events", "user_id", "ts", "event_type", "event_id").where("user_id IS NOT NULL")
+    I.run_to_files(I.entity_status(events, "user_id", "ts", "event_type", "error", "purchase", "event_id"), f"{work}/status", f"{work}/checkpoint")
+    last = spark.read.parquet(f"{work}/status").groupBy("entity").agg(F.max(F.struct("n_events", "status")).alias("l"))
+    return last.select(F.col("entity").cast("bigint").alias("user_id"), "l.status", "l.n_events")
+
+
+QUERIES = {f.__name__: f for f in (stream_df_state, stream_new_questions, stream_feedback_windows, stream_entity_status)}
 
 ORACLE = {
     "stream_df_state": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TAGGING_SQL.format('text')}) AS term FROM (SELECT doc_id, any_value(text) AS text FROM corpus WHERE doc_id IS NOT NULL GROUP BY 1)) GROUP BY 1",
     "stream_new_questions": "SELECT coalesce(length(trim(q)) > 0, false) AS ok, count(*) AS n, sum(length(trim(q)))::BIGINT AS chars FROM (SELECT entry_id, any_value(question) AS q FROM qna_log WHERE entry_id IS NOT NULL GROUP BY 1) GROUP BY 1",
+    "stream_feedback_windows": "SELECT floor(epoch(date_trunc('day', ts)))::BIGINT AS start_s, CASE WHEN event_type = 'error' THEN 'dislike' ELSE 'like' END AS feedback, count(*) AS n FROM events WHERE ts IS NOT NULL AND event_type IN ('click', 'purchase', 'error') GROUP BY 1, 2",
+    "stream_entity_status": "SELECT user_id, CASE WHEN arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'purchase') AND ts IS NOT NULL) = 'error' THEN 'active' ELSE 'unknown' END AS status, count(*) AS n_events FROM events WHERE user_id IS NOT NULL GROUP BY 1",
 }

@@ -145,6 +145,28 @@ def bm25_tags(spark, d):
     return T.bm25_tags(T.tagging_terms(docs), T.term_df(docs), _n(spark, d), _avgdl(spark, d)).drop("first_pos", "dl")
 
 
+def candidate_bm25(spark, d):
+    """Candidates of RAKE and frequency with the mean BM25 weight of their tokens, over the document's best."""
+    docs = _docs(spark, d)
+    idf = F.log((_n(spark, d) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    raw = idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / _avgdl(spark, d)))
+    terms = T.tagging_terms(docs).join(T.term_df(docs), "term").select("doc_id", "term", raw.alias("raw"))
+    return T.candidate_scores(_merged(spark, d), terms)
+
+
+def fallback_keywords(spark, d):
+    """The first hundred distinct tokens of the documents without a RAKE phrase of three words."""
+    docs = _docs(spark, d)
+    phrases = _rake(spark, d).where(F.size(F.split("phrase", " ")) == 3)
+    return K.fallback_keywords(docs, phrases, X.simple_tokens(F.col("text"))).select("doc_id", F.array_join("kw", "|").alias("kw"))
+
+
+def padded_run(spark, d):
+    """The hundred best documents by keyword overlap, filled up with documents that score 0 where there are fewer."""
+    run = R.top_k(Q._overlap(spark, d), Q.TOP)
+    return R.pad(run, Q._questions(spark, d), table(spark, d, "documents"), Q.TOP)
+
+
 def topic_boost_tags(spark, d):
     """BM25 tags ordered by their nearness to the title."""
     docs = _docs(spark, d)
@@ -250,7 +272,7 @@ def kmeans_category(spark, d):
     return C.kmeans_categories(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (rake_keywords, yake_keywords, ensemble_union2, ensemble_union3, weighted_vote, mmr_diversity, model_metrics, model_metrics_yake, model_keyword_quality, frequency_tags, tfidf_tags, bm25_tags, topic_boost_tags, candidate_merge, consensus_tags, consensus_tags_yake, tag_quality, semantic_jaccard, chunked_tag_merge, genre_classify, genre_light, entities_light, domain_pattern, meaningful_answer, followup_parse, effective_category, kmeans_category)}
+QUERIES = {f.__name__: f for f in (rake_keywords, yake_keywords, ensemble_union2, ensemble_union3, weighted_vote, mmr_diversity, model_metrics, model_metrics_yake, model_keyword_quality, frequency_tags, tfidf_tags, bm25_tags, topic_boost_tags, candidate_bm25, fallback_keywords, padded_run, candidate_merge, consensus_tags, consensus_tags_yake, tag_quality, semantic_jaccard, chunked_tag_merge, genre_classify, genre_light, entities_light, domain_pattern, meaningful_answer, followup_parse, effective_category, kmeans_category)}
 
 
 def _list(words) -> str:
@@ -392,6 +414,17 @@ ORACLE = {
         r4 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, boosted DESC, tag) AS rank FROM r3),
         f AS (SELECT doc_id, boosted AS first FROM r4 WHERE rank = 1)
         SELECT doc_id, tag, relevance, round(boosted / first, 9) AS score, rank FROM r4 JOIN f USING (doc_id) WHERE rank <= 12""",
+    "candidate_bm25": _RAKE + _TERMS + _MERGE + f"""
+        , cs AS (SELECT doc_id, tag, round(avg(raw), 9) AS m FROM (SELECT doc_id, tag, unnest(string_split(tag, '_')) AS term FROM merged) JOIN (SELECT doc_id, term, {_BM.removesuffix(' * weight')} AS raw FROM tw) USING (doc_id, term) GROUP BY 1, 2)
+        SELECT * FROM (SELECT doc_id, tag, round(m / max(m) OVER (PARTITION BY doc_id), 6) AS stat, row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, tag) AS stat_rank FROM cs) WHERE stat_rank <= 50""",
+    "fallback_keywords": _RAKE + """
+        , w3 AS (SELECT DISTINCT doc_id FROM rake WHERE rank <= 30 AND len(string_split(phrase, ' ')) = 3), f AS (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i)[1:100] AS kw FROM toks WHERE doc_id NOT IN (SELECT doc_id FROM w3))
+        SELECT doc_id, array_to_string(kw, '|') AS kw FROM f WHERE len(kw) > 0""",
+    "padded_run": _POST + f"""
+        , r AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= {Q.TOP}),
+        f AS (SELECT item_id AS qid, doc_id FROM eval_items, (SELECT DISTINCT doc_id FROM documents ORDER BY doc_id LIMIT {Q.TOP})),
+        u AS (SELECT * FROM r UNION ALL SELECT f.qid, f.doc_id, 0, NULL FROM f LEFT JOIN r ON r.qid = f.qid AND r.doc_id = f.doc_id WHERE r.qid IS NULL)
+        SELECT * FROM (SELECT qid, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY rank NULLS LAST, doc_id) AS rank FROM u) WHERE rank <= {Q.TOP}""",
     "candidate_merge": _RAKE + _MERGE + "SELECT * EXCLUDE (domain) FROM merged",
     "consensus_tags": _CONSENSUS + "SELECT * FROM cons",
     "tag_quality": _CONSENSUS + """

@@ -17,8 +17,12 @@ from lexloom.sources.sinks import partition_append
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")
+    """A new folder below the shared checkpoint folder that the cluster names; only a local session may do without, with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lexloom-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -58,26 +62,33 @@ def windowed_feedback(stream: DataFrame, at: str = "ts", width: str = "1 day", l
     return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "feedback").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "feedback", "n")
 
 
-def entity_status(stream: DataFrame, entity: str, at: str, kind: str, issue: str = "issue", resolution: str = "resolution") -> DataFrame:
+def entity_status(stream: DataFrame, entity: str, at: str, kind: str, issue: str = "issue", resolution: str = "resolution", event_id: str | None = None) -> DataFrame:
     """(entity, status, n_events) whenever new events of an entity come: active after an issue, unknown after a resolution.
 
-    Custom state: the latest deciding event and a counter per entity, so
-    events may come in any order within and across batches.
+    Custom state: the latest deciding event by time and, where ``event_id``
+    names a whole number, by id, and a counter per entity, so events may come
+    in any order within and across batches.
     """
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, active, n = state.get if state.exists else (0, False, 0)
+        at_us, number, active, n = state.get if state.exists else (-(1 << 62), -(1 << 62), False, 0)
         for f in frames:
             n += len(f)
-            deciding = f[f["kind"].isin([issue, resolution])]
-            for us, what in zip(deciding["us"], deciding["kind"]):
-                if us >= last:
-                    last, active = int(us), what == issue
-        state.update((last, active, n))
+            deciding = f[f["kind"].isin([issue, resolution]) & f["us"].notna()]
+            for us, i, what in zip(deciding["us"], deciding["id"], deciding["kind"]):
+                if (us, i) >= (at_us, number):
+                    at_us, number, active = int(us), int(i), what == issue
+        state.update((at_us, number, active, n))
         yield pd.DataFrame({"entity": [k[0]], "status": ["active" if active else "unknown"], "n_events": [n]})
 
-    src = stream.select(F.col(entity).cast("string").alias("entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(kind).alias("kind"))
-    return src.groupBy("entity").applyInPandasWithState(fold, "entity string, status string, n_events bigint", "last bigint, active boolean, n bigint", "update", GroupStateTimeout.NoTimeout)
+    src = stream.select(F.col(entity).cast("string").alias("entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), (F.coalesce(F.col(event_id).cast("bigint"), F.lit(0)) if event_id else F.lit(0).cast("bigint")).alias("id"), F.col(kind).alias("kind"))
+    return src.groupBy("entity").applyInPandasWithState(fold, "entity string, status string, n_events bigint", "at bigint, number bigint, active boolean, n bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """Writes the results of a stream, a partition for each batch, until the input that is there is read."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: partition_append(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def work_queue(stream: DataFrame, answer, path: str, checkpoint: str, key: str = "entry_id", text: str = "question") -> None:
