@@ -47,13 +47,16 @@ def romanize(text: str) -> str:
 
 def level(text: str) -> str:
     """Width, case, invisible and look-alike characters levelled; Hangul composed."""
+    if text.isascii() and text.isprintable():  # nothing but the case to level
+        return text.lower()
     text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     return "".join(c for c in text.casefold().translate(_LOOKALIKE) if unicodedata.category(c) not in ("Cc", "Cf") or c in "\t\n\r")
 
 
 def squeeze(text: str) -> str:
     """Key of a levelled text: letters and digits only, Hangul as single letters (jamo)."""
-    return unicodedata.normalize("NFD", "".join(_WORDS.findall(text)))
+    letters = "".join(_WORDS.findall(text))
+    return letters if letters.isascii() else unicodedata.normalize("NFD", letters)
 
 
 def distance_for(length: int) -> int:
@@ -157,7 +160,7 @@ class CanonicalTrie:
             for i in ids:
                 self.keys.setdefault(i, []).append(key)
         self.root = _bound(_compile((key, i) for key, ids in self.exact.items() for i in ids))
-        self.back = _bound(_compile((key[::-1], i) for key, ids in self.exact.items() for i in ids))
+        self.back = _bound(_compile((key[::-1], i) for key, ids in self.exact.items() for i in ids))  # the same from the other end
         self.below: dict[str, _Node] = {}  # the tries of the entries that have a word, made when first searched
         self.known: dict[tuple[str, ...], int] = {}  # levelled values that were matched already
         self.reach = max(map(len, self.exact), default=0) + distance_for(1 << 20)
