@@ -43,8 +43,9 @@ def synonym_map() -> dict[str, str]:
 
 def apply_synonyms(token: Column) -> Column:
     """Canonical spelling of a normalised token, the token itself where none is known."""
-    table = F.create_map(*[F.lit(x) for pair in synonym_map().items() for x in pair])
-    return F.coalesce(F.element_at(table, token), token)
+    known = {form: canonical for form, canonical in synonym_map().items() if form != canonical}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.when(token.isin(*known), F.element_at(table, token)).otherwise(token)  # the set is looked up by hash, the map only for hits
 
 
 def tagging_tokens(text: Column, synonyms: bool = True) -> Column:

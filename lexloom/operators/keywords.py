@@ -20,8 +20,7 @@ STOPWORDS = sorted({*STOPWORDS_EN, *STOPWORDS_KO})
 def rake_phrases(text: Column, max_words: int = 3, min_chars: int = 2) -> Column:
     """Candidate phrases in order, repeats included: runs of words between stop words and punctuation; null gives []."""
     marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_ ]+", " | ")
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    words = F.transform(F.split(marked, " +"), lambda w: F.when(F.array_contains(stop, w), "|").otherwise(w))
+    words = F.transform(F.split(marked, " +"), lambda w: F.when(w.isin(*STOPWORDS), "|").otherwise(w))  # a set of literals is looked up by hash
     runs = F.transform(F.split(F.array_join(words, " "), r"\|"), lambda p: F.trim(p))
     return F.filter(runs, lambda p: (F.length(p) >= min_chars) & (F.size(F.split(p, " ")) <= max_words))
 
@@ -34,9 +33,11 @@ def rake(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3
     """
     src = (docs if max_chars is None else docs.where(F.length(text) <= max_chars)).select(F.col(doc_id).alias("doc_id"), rake_phrases(F.col(text), max_words).alias("p"))
     phrases = src.select("doc_id", F.explode("p").alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
-    words = phrases.withColumn("w", F.split("phrase", " "))
-    scores = words.select("doc_id", "n", F.size("w").alias("m"), F.explode("w").alias("word")).groupBy("doc_id", "word").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("ws"))
-    summed = words.select("doc_id", "phrase", F.explode("w").alias("word")).join(scores, ["doc_id", "word"]).groupBy("doc_id", "phrase").agg(F.round(F.sum("ws"), 6).alias("raw"))
+    parts = F.split("phrase", " ")
+    words = phrases.select("doc_id", "phrase", "n", F.size(parts).alias("m"), F.explode(parts).alias("word"))
+    same = W.partitionBy("doc_id", "word")
+    scored = words.withColumn("ws", F.sum(F.col("n") * F.col("m")).over(same) / F.sum("n").over(same))
+    summed = scored.groupBy("doc_id", "phrase").agg(F.round(F.sum("ws"), 6).alias("raw"))
     by = W.partitionBy("doc_id")
     ranked = summed.withColumn("rank", F.row_number().over(by.orderBy(F.desc("raw"), "phrase"))).withColumn("score", F.round(F.col("raw") / F.max("raw").over(by), 6))
     return ranked.where(F.col("rank") <= k).select("doc_id", "phrase", "score", "rank")

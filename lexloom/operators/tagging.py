@@ -17,6 +17,11 @@ def stopwords(lang: Column) -> Column:
     return F.when(lang == "ko", F.array(*map(F.lit, STOPWORDS_KO))).otherwise(F.array(*map(F.lit, STOPWORDS_EN)))
 
 
+def is_stopword(lang: Column, term: Column) -> Column:
+    """Whether a term is a stop word of a guessed language; looked up by hash."""
+    return F.when(lang == "ko", term.isin(*STOPWORDS_KO)).otherwise(term.isin(*STOPWORDS_EN))
+
+
 def genre_weight(genre: Column, term: Column) -> Column:
     """Weight of a term in a genre, 1.0 where none is set."""
     table = F.create_map(*[F.lit(x) for g, ws in GENRE_WEIGHTS.items() for t, w in ws.items() for x in (f"{g}|{t}", w)])
@@ -29,8 +34,8 @@ def tagging_terms(docs: DataFrame) -> DataFrame:
     ``docs``: (doc_id, text, title, genre); the title is the topic sentence.
     ``dl`` counts tokens before stop words go.  Ids must be distinct.
     """
-    base = docs.select(DOC, "genre", X.tagging_tokens(F.col("text")).alias("t"), X.tagging_tokens(F.col("title")).alias("topic"), stopwords(X.guess_language(F.col("text"))).alias("stop")).withColumn("dl", F.size("t"))
-    placed = base.select(DOC, "genre", "dl", "topic", "stop", F.posexplode("t").alias("p", "term")).where(~F.array_contains("stop", F.col("term")))
+    base = docs.select(DOC, "genre", X.tagging_tokens(F.col("text")).alias("t"), X.tagging_tokens(F.col("title")).alias("topic"), X.guess_language(F.col("text")).alias("lang")).withColumn("dl", F.size("t"))
+    placed = base.select(DOC, "genre", "dl", "topic", "lang", F.posexplode("t").alias("p", "term")).where(~is_stopword(F.col("lang"), F.col("term")))
     counted = placed.groupBy(DOC, "genre", "dl", "term").agg(F.count("*").alias("tf"), F.min("p").alias("first_pos"), F.first(F.array_contains("topic", F.col("term"))).alias("in_topic"))
     return counted
 
