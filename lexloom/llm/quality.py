@@ -49,6 +49,7 @@ _BYTE = re.compile(r"^[0-9a-fA-F]{2}$")
 _ODD = re.compile(r"(?<=\w)[{}|`^~§¬!;<>#&*=+$@](?=\w)|[{}`^~§¬|]{2}")
 _STRAY = re.compile(r"[{}|`^~§¬!;'<>#&*=+$@]")
 _INLINE_MARK = re.compile(r"\*\*|(?<=\w)\[\d{1,3}\]|&[a-z]{2,6};")
+_ALNUM = re.compile(r"[^\W_]+")
 _FULL_WIDTH = re.compile(r"[Ａ-ｚ]")
 _PIECES = re.compile(r"(?<=[。！？])|\s+")
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -169,7 +170,8 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
         if pairs >= 8:
             v[GARBLED] += pairs
             v[NUMERIC] = v[CODE] = 0.0
-    v[LOST] = sum(map(len, _LOST.findall(body))) / 2
+    if "??" in body or not body.isascii():
+        v[LOST] = sum(map(len, _LOST.findall(body))) / 2
     v[STOP], v[COMMA] = len(_STOP.findall(body)), len(_COMMA.findall(body))
     if again:
         for kind in (WORD, FUNCTION):
@@ -241,7 +243,7 @@ def describe_all(texts: list[str | None], profiles: Profiles) -> list[dict]:
         out[-1] |= {
             "n_words": len(tokens),
             "mean_word_len": dense / len(tokens),
-            "symbol_share": (dense - sum(map(str.isalnum, text))) / dense,
+            "symbol_share": (dense - sum(map(len, _ALNUM.findall(text)))) / dense,
             "punct_line_share": sum(bool(_END.search(b)) for b in bodies) / max(1, len(bodies)),
             "common_share": common / max(1, words),
         }
