@@ -13,7 +13,7 @@ from compare import canonical
 from lexloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-NO_SQL = {"yake_keywords", "mmr_diversity", "consensus_tags_yake", "kmeans_category", "chunks_made"}
+NO_SQL = {"yake_keywords", "mmr_diversity", "consensus_tags_yake", "kmeans_category", "chunks_made", "model_metrics_yake", "markdown_pieces"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
 

@@ -28,3 +28,11 @@ def test_loose_position_and_best(spark):
     df = spark.createDataFrame([("서버 로그를 먼저 확인", "로그 서버"), ("none here", "로그"), (None, "a"), ("a b", "")], "s string, p string")
     assert [r[0] for r in df.select(X.loose_position(F.col("s"), F.col("p"))).collect()] == [0, -1, -1, -1]
     assert [tuple(r) for r in spark.createDataFrame([(1.0, 2.0), (1.0, 0.0)], "a double, b double").select(X.over_best(F.col("a"), F.col("b"))).collect()] == [(0.5,), (1.0,)]
+
+
+def test_payload_with_queue(spark):
+    payload = spark.createDataFrame([("i1", "d1"), ("i2", "d1"), ("i2", "d1"), (None, "d1"), ("i5", None)], "image_id string, doc_id string")
+    queue = spark.createDataFrame([("i2", "other"), ("i3", "d2"), ("i3", "d2"), (None, "d3")], "image_id string, parent_doc_id string")
+    got = {r.doc_id: (r.n_payload, r.n_queued, r.n_both) for r in M.payload_with_queue(payload, queue).collect()}
+    assert got == {"d1": (2, 1, 1), "d2": (0, 1, 0), None: (1, 0, 0)}
+    assert M.payload_with_queue(payload.limit(0), queue.limit(0)).count() == 0

@@ -136,3 +136,30 @@ def test_latest_and_states(spark):
     assert [tuple(r) for r in P.latest(df, "k", "at").collect()] == [("a", 2, "y", 3)]
     st = spark.createDataFrame([("s1", "b1", 1, {"t": 1}), ("s2", "b1", 2, {"t": 5}), ("s3", "b1", 3, None), ("s4", "b2", 1, {"t": 1, "u": 2})], "state_id string, batch_id string, updated_at int, df map<string,int>")
     assert {r.term: r.df for r in P.merge_states(st).collect()} == {"t": 6, "u": 2}
+
+
+def test_metrics_by_model_are_those_of_each_run(spark):
+    run = spark.createDataFrame([("m", 1, 10, 1), ("m", 1, 11, 2), ("n", 1, 11, 1), ("n", 2, 12, 1), ("m", 2, 13, 1)], "model string, qid int, doc_id int, rank int")
+    qrels = spark.createDataFrame([(1, 11, 2), (1, 14, 1), (3, 11, 1), (2, 12, 0)], "qid int, doc_id int, rel int")
+    by = {r.model: r.asDict() for r in E.metrics(run, qrels, (1, 10), ("model",)).collect()}
+    for m in ("m", "n"):
+        alone = E.metrics(run.where(F.col("model") == m), qrels, (1, 10)).collect()[0].asDict()
+        assert {k: v for k, v in by[m].items() if k != "model"} == alone
+    assert by["m"]["n_queries"] == 2 and by["n"]["mrr"] == 0.5
+    assert E.metrics(run.limit(0), qrels, (1,), ("model",)).count() == 0
+
+
+def test_keyword_quality_by_model(spark):
+    kw = spark.createDataFrame([("a", 1, ["red fish"]), ("b", 1, ["blue"]), ("b", 2, ["fish"])], "model string, doc_id int, kw array<string>")
+    docs = spark.createDataFrame([(1, ["red", "fish", "blue"]), (2, ["fish"])], "doc_id int, tokens array<string>")
+    queries = spark.createDataFrame([(1, ["fish"])], "qid int, tokens array<string>")
+    qrels = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], "qid int, doc_id int, rel int")
+    got = {r.model: (r.qko, r.avg_keywords) for r in E.keyword_quality(kw, docs, queries, qrels, ("model",)).collect()}
+    assert got == {"a": (0.5, 1.0), "b": (0.5, 1.0)}
+
+
+def test_padding(spark):
+    run = spark.createDataFrame([(1, 5, 0.5, 1), (1, 2, 0.25, 2)], "qid int, doc_id int, score double, rank int")
+    queries, docs = spark.createDataFrame([(1,), (2,)], "qid int"), spark.createDataFrame([(i,) for i in (3, 1, 2, 5, 5)], "doc_id int")
+    got = [(r.qid, r.doc_id, r.score, r["rank"]) for r in R.pad(run, queries, docs, 3).orderBy("qid", "rank").collect()]
+    assert got == [(1, 5, 0.5, 1), (1, 2, 0.25, 2), (1, 1, 0.0, 3), (2, 1, 0.0, 1), (2, 2, 0.0, 2), (2, 3, 0.0, 3)]

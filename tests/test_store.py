@@ -137,3 +137,52 @@ def test_report_keeps_the_whole_answer(spark, tmp_path):
     spark.createDataFrame([(1, 1, "old?", "old", None), (1, 2, "why?", answer, "so"), (2, 1, None, None, None)], "entry_id int, logged_at int, question string, portal_answer_snippet string, analysis_summary string").write.parquet(f"{tmp_path}/qna_log.parquet")
     got = {r.entry_id: r.report for r in SQ.report_markdown(spark, str(tmp_path)).collect()}
     assert got == {1: f"## Question\nwhy?\n## Answer\n{answer}\n## Analysis\nso", 2: "## Question\n-\n## Answer\n-\n## Analysis\n-"}
+
+
+def test_search_many_is_each_search(index, spark):
+    docs, tags = index
+    full = S.document_index(docs, tags)
+    queries = spark.createDataFrame([("a", "server"), ("b", "Server Guide"), ("c", "queue x"), ("d", "nothing"), ("e", " "), ("f", None), ("g", "e")], "qid string, query string")
+    staged = S.stage1_many(S.tag_index(tags), queries).collect()
+    found = S.search_many(full, S.tag_index(tags), queries).collect()
+    for r in queries.where("length(trim(query)) > 0").collect():
+        one = S.stage1(S.tag_index(tags), r["query"])
+        assert [(x.doc_id, x.score) for x in one.collect()] == [(x.doc_id, x.score) for x in sorted((x for x in staged if x.qid == r.qid), key=lambda x: x["rank"])], r
+        want = S.stage2(full.join(one.select("doc_id"), "doc_id", "left_semi"), r["query"]).collect()
+        assert [(x.doc_id, x.score, x.reasons) for x in want] == [(x.doc_id, x.score, x.reasons) for x in sorted((x for x in found if x.qid == r.qid), key=lambda x: x["rank"])], r
+    assert {x.qid for x in staged} == {"a", "b", "c", "g"}
+    assert S.search_many(full, S.tag_index(tags), queries.limit(0)).count() == 0 and S.search_many(full.limit(0), S.tag_index(tags.limit(0)), queries).count() == 0
+
+
+def test_category_log(spark):
+    log = spark.createDataFrame([(1, 1, "a", "manual"), (1, 2, "b", "manual"), (1, 3, "c", "auto"), (2, 1, "a", "manual"), (2, 2, None, "manual"), (3, 1, "x", "auto"), (3, 1, "y", "auto"), (None, 1, "z", "auto")], "doc_id int, at int, category string, by string")
+    assert {r.doc_id: (r.manual, r.auto) for r in ST.category_overlay(log).collect()} == {1: ("b", "c"), 2: (None, None), 3: (None, "y")}
+    names = spark.createDataFrame([("기타",), ("old",)], "name string")
+    ops = spark.createDataFrame([("new", 1, "add"), ("old", 1, "remove"), ("기타", 1, "remove"), ("back", 1, "remove"), ("back", 2, "add"), (None, 1, "add")], "name string, at int, op string")
+    assert {r.name for r in ST.edit_categories(names, ops).collect()} == {"기타", "new", "back"}
+    assert ST.category_overlay(log.limit(0)).count() == 0
+
+
+def test_viewer_filter(spark):
+    docs = spark.createDataFrame([(1, "report", "en", "t", ["Server"]), (2, "report", "ko", " ", ["queue"]), (3, None, "en", None, [])], "doc_id int, genre string, lang string, topic string, tags array<string>")
+    ids = lambda **f: sorted(r.doc_id for r in A.viewer_filter(docs, **f).collect())
+    assert ids() == [1, 2, 3] and ids(genre="report") == [1, 2] and ids(language="en", has_topic=False) == [3] and ids(has_topic=True) == [1] and ids(tag="SERV") == [1] and ids(tag="x") == []
+
+
+def test_timeline_of_ties_and_nulls(spark):
+    events = spark.createDataFrame([(1, 1, 5, "issue"), (1, 2, 5, "resolution"), (1, 3, None, "note"), (2, 4, 1, "resolution"), (2, 5, 2, "issue"), (3, 6, 1, None)], "who int, event_id int, at int, kind string")
+    got = {r.who: (r.n_events, r.status, len(r.timeline)) for r in ST.timelines(events, "who", "event_id", "at", "kind", 2).collect()}
+    assert got == {1: (3, "unknown", 2), 2: (2, "active", 2), 3: (1, "unknown", 1)}
+
+
+def test_compat_packing_loses_what_the_described_one_loses():
+    text = "\n\n".join(c * 400 for c in "abc")
+    whole, lossy = H.pack(text, 512, 128, 0), H.pack(text, 512, 128, 0, compat=True)
+    assert [t[0] for *_, t in whole] == ["a", "b", "c"] and [t[0] for *_, t in lossy] == ["c"]
+
+
+def test_markdown_table(spark):
+    text = "\n\n".join(["p" * 900, "q" * 900, "r" * 50])
+    df = spark.createDataFrame([(1, text), (2, None), (3, "  "), (4, "one")], "doc_id int, text string")
+    got = sorted((r.doc_id, r.chunk_index, len(r.text)) for r in H.chunk_markdown(df).collect())
+    assert got == [(1, 0, 900), (1, 1, 952), (4, 0, 3)] and H.chunk_markdown(df.limit(0)).count() == 0

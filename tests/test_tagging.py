@@ -137,3 +137,10 @@ def test_kmeans(spark):
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")
     got = C.kmeans_categories(df, k=2).collect()
     assert len(got) == 40 and all(r.category == r.vec_id % 2 and 0.5 <= r.confidence <= 1 for r in got)
+
+
+def test_fallback_keywords(spark):
+    docs = spark.createDataFrame([(1, "b a b c"), (2, "x"), (3, None)], "doc_id int, text string")
+    found = spark.createDataFrame([(2, "x")], "doc_id int, phrase string")
+    got = {r.doc_id: r.kw for r in K.fallback_keywords(docs, found, F.split(F.coalesce("text", F.lit("")), " "), 2).collect()}
+    assert got == {1: ["b", "a"], 3: [""]} and K.fallback_keywords(docs.limit(0), found, F.split("text", " ")).count() == 0
