@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm import canonical, encoding, frequency, language, leakage, pairs, quality, splitting
@@ -40,6 +41,17 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(distinct, ["chunk_id"], carry=("section_path",)).withColumnsRenamed({"piece_start": "start_offset", "piece_end": "end_offset"})
 
 
+def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every cut chunk what its pieces give together: whether all are within the cap and share 120 characters with their neighbours, and the text put together again."""
+    pieces = p2_pieces(spark, sf_dir).withColumn("before", F.lag("end_offset").over(W.partitionBy("chunk_id").orderBy("piece_no")))
+    shared = F.coalesce(F.col("before") - F.col("start_offset") == 120, F.col("start_offset") == 0)
+    fresh = F.when(F.col("piece_no") == 0, F.col("piece_text")).otherwise(F.expr("substring(piece_text, 121)"))
+    exact = F.length("piece_text") == F.col("end_offset") - F.col("start_offset")
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t"))))  # the pieces of one chunk, as long as its text
+    text = F.array_join(F.transform(parts, lambda x: x["t"]), "")
+    return pieces.groupBy("chunk_id").agg(F.md5(text.cast("binary")).alias("text_md5"), F.max("end_offset").alias("n_chars"), F.every(F.length("piece_text") <= 1024).alias("within"), F.every(shared).alias("shared"), F.every(exact).alias("exact"))
+
+
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and document frequency of every distinct term of the corpus."""
     return frequency.term_frequencies(table(spark, sf_dir, "corpus"), order_col="ingested_at")
@@ -109,7 +121,7 @@ WITH records AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_candidates, p1_matches, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_lines, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_candidates, p1_matches, p2_found, p2_pieces, p2_checked, p3_found, p3_terms, p4_found, p4_lines, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_stats)}
 
 
 _OVERSIZED_SQL = r"""
@@ -125,6 +137,7 @@ SELECT chunk_id, CASE WHEN list_max(list_transform(u, lambda x: length(x))) > 10
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _OVERSIZED_SQL,
+        "p2_checked": "SELECT chunk_id, md5(text) AS text_md5, length(text) AS n_chars, true AS within, true AS shared, true AS exact FROM (SELECT chunk_id, max(struct_pack(ingested_at := ingested_at, text := text, section_path := section_path)).text AS text FROM chunks WHERE length(text) > 1024 GROUP BY 1)",
         "p3_found": _TERM_SQL + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p3_terms": _TERM_SQL + "SELECT * FROM marked",
     }
