@@ -6,6 +6,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from lexloom.functions.constants import DENY_PHRASES
+from lexloom.operators.classify import follow_ups, is_meaningful
+from lexloom.operators.store import with_status
+from lexloom.plans.tagging_queries import _TRIMMED
 from lexloom.plans.text_queries import TAGGING_SQL
 from lexloom.session import table
 from lexloom.streaming import ingest as I
@@ -51,11 +55,25 @@ def stream_entity_status(spark, d):
     return last.select(F.col("entity").cast("bigint").alias("user_id"), "l.status", "l.n_events")
 
 
-QUERIES = {f.__name__: f for f in (stream_df_state, stream_new_questions, stream_feedback_windows, stream_entity_status)}
+def stream_question_status(spark, d):
+    """The question log worked off as a queue: entries by status, done where the answer says something, failed where not, pending where the portal gave no verdict yet."""
+    work = I.work_dir(spark, "status")
+    stream = _stream(spark, d, "qna_log", "entry_id", "portal_answer_snippet", "has_answer").where("entry_id IS NOT NULL AND has_answer IS NOT NULL")
+    lines = lambda a: F.when(is_meaningful(a), F.array_join(follow_ups(a), "|"))
+    I.work_queue(stream, lines, f"{work}/results", f"{work}/checkpoint", text="portal_answer_snippet")
+    results = spark.read.parquet(f"{work}/results").select("entry_id", F.lit(0).alias("at"), "ok")
+    queue = table(spark, d, "qna_log").select("entry_id").where("entry_id IS NOT NULL").distinct()
+    return with_status(queue, results, "entry_id").groupBy("status").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (stream_df_state, stream_new_questions, stream_feedback_windows, stream_entity_status, stream_question_status)}
 
 ORACLE = {
     "stream_df_state": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TAGGING_SQL.format('text')}) AS term FROM (SELECT doc_id, any_value(text) AS text FROM corpus WHERE doc_id IS NOT NULL GROUP BY 1)) GROUP BY 1",
     "stream_new_questions": "SELECT coalesce(length(trim(q)) > 0, false) AS ok, count(*) AS n, sum(length(trim(q)))::BIGINT AS chars FROM (SELECT entry_id, any_value(question) AS q FROM qna_log WHERE entry_id IS NOT NULL GROUP BY 1) GROUP BY 1",
+    "stream_question_status": f"""
+        WITH q AS (SELECT entry_id, any_value(a) AS a, max(has_answer) AS h FROM (SELECT entry_id, {_TRIMMED.format('portal_answer_snippet')} AS a, has_answer FROM qna_log WHERE entry_id IS NOT NULL) GROUP BY 1)
+        SELECT CASE WHEN h IS NULL THEN 'PENDING' WHEN coalesce(length(a) >= 20 AND NOT ({' OR '.join(f"contains(a, '{p}')" for p in DENY_PHRASES)}), false) THEN 'DONE' ELSE 'FAILED' END AS status, count(*) AS n FROM q GROUP BY 1""",
     "stream_feedback_windows": "SELECT floor(epoch(date_trunc('day', ts)))::BIGINT AS start_s, CASE WHEN event_type = 'error' THEN 'dislike' ELSE 'like' END AS feedback, count(*) AS n FROM events WHERE ts IS NOT NULL AND event_type IN ('click', 'purchase', 'error') GROUP BY 1, 2",
     "stream_entity_status": "SELECT user_id, CASE WHEN arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'purchase') AND ts IS NOT NULL) = 'error' THEN 'active' ELSE 'unknown' END AS status, count(*) AS n_events FROM events WHERE user_id IS NOT NULL GROUP BY 1",
 }
