@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,21 @@ def bounded(pattern: str) -> str:
     return head + pattern.removeprefix(r"\b").removesuffix(r"\b") + tail
 
 
+def has_pattern(text: Column, pattern: str) -> Column:
+    """Whether a text has a pattern; plain words are looked for as such, and the word borders round them are only tested where they stand."""
+    core = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    words = core.split("|") if core == pattern else [core]
+    if not all(w and re.fullmatch(r"[\w ]+", w) for w in words):
+        return text.rlike(bounded(pattern))
+    found = text.contains(words[0])
+    for w in words[1:]:
+        found = found | text.contains(w)
+    return found if core == pattern else found & text.rlike(bounded(pattern))
+
+
 def genre_scores(blob: Column, rules: dict[str, list[str]]) -> dict[str, Column]:
     """Number of each genre's patterns that the lower-cased text has."""
-    return {g: sum((blob.rlike(bounded(p)).cast("int") for p in pats[1:]), blob.rlike(bounded(pats[0])).cast("int")) for g, pats in rules.items()}
+    return {g: sum((has_pattern(blob, p).cast("int") for p in pats[1:]), has_pattern(blob, pats[0]).cast("int")) for g, pats in rules.items()}
 
 
 def classify_genre(docs: DataFrame, rules: dict[str, list[str]], max_lines: int, keys: list[str]) -> DataFrame:
