@@ -84,5 +84,5 @@ PRODUCTS = ["JEUS", "WebtoB", "Tomcat", "PostgreSQL", "Oracle", "Tibero", "XEDRM
 # Wordings of answers that tell nothing.
 DENY_PHRASES = ["찾을 수 없습니다", "정보를 찾을 수 없습니다", "검색 결과가 없습니다", "해당 내용을 찾지 못했습니다", "다시 질문해 주시겠어요", "질문을 다시 확인해 주세요", "관련 정보를 찾지 못했습니다"]
 
-# Phrases of general importance, whatever their score.
+# Error codes and exceptions, by which a phrase counts as a term of the domain.
 ERROR_PATTERNS = [r"ORA-\d+", "SQLSTATE", r"ERROR\s*\d+", "NullPointerException", "OutOfMemoryError", "StackOverflowError"]
