@@ -187,6 +187,41 @@ def read_documents(spark: SparkSession, path: str, hooks: dict[str, Callable[[by
     return read.withColumn("title", F.coalesce("document_title", stem)).withColumn("file_id", id_hash("", 16, F.col("path"), F.col("size"), F.unix_timestamp("modified_at")))
 
 
+def _images(data: bytes) -> list[tuple[str, int | None, bytes]]:
+    """(name, slide or None, content) of the images inside an office file, in the order of their names; the slide is the first that shows the image."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shown: dict[str, int] = {}
+        for n in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/_rels/slide\d+\.xml\.rels", n)), key=lambda n: int(re.findall(r"slide(\d+)", n)[-1])):
+            for r in ElementTree.fromstring(z.read(n)):
+                if "media/" in r.get("Target", ""):
+                    shown.setdefault(r.get("Target").rsplit("/", 1)[-1], int(re.findall(r"slide(\d+)", n)[-1]))
+        names = sorted(n for n in z.namelist() if re.match(r"(?:word|ppt|xl)/media/[^/]+$", n))
+        return [(n.rsplit("/", 1)[-1], shown.get(n.rsplit("/", 1)[-1]), z.read(n)) for n in names]
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, path, image_name, slide_index, size, content): the images inside the DOCX, PPTX and XLSX files below a directory, a row for each.
+
+    A broken file has no rows here; :func:`read_documents` gives its error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin("docx", "pptx", "xlsx")).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for p, data in zip(f["path"], f["content"]):
+                try:
+                    rows += [(p, name, slide, len(image), image) for name, slide, image in _images(bytes(data))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    continue
+            out = pd.DataFrame(rows, columns=["path", "image_name", "slide_index", "size", "content"])
+            out["slide_index"] = out["slide_index"].astype("Int32")
+            yield out
+
+    found = files.mapInPandas(run, "path string, image_name string, slide_index int, size bigint, content binary")
+    return found.withColumn("image_id", id_hash("", 16, F.col("path"), F.col("image_name")))
+
+
 def has_text_layer(chars, pages):
     """Whether a scanned format holds enough text: 200 characters, or 50 a page."""
     return (F.coalesce(chars, F.lit(0)) >= 200) | (F.coalesce(chars, F.lit(0)) / F.greatest(F.coalesce(pages, F.lit(1)), F.lit(1)) >= 50)

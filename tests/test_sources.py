@@ -107,3 +107,18 @@ def test_windows_and_late_votes(spark, tmp_path):
     q.awaitTermination()
     assert [(r.feedback, r.n) for r in spark.table("votes").collect()] == [("like", 2)]
     assert I.new_documents(stream, "feedback", "ts").isStreaming
+
+
+def test_images_inside_files(spark, tmp_path):
+    rels = '<Relationships><Relationship Target="../media/image2.png"/></Relationships>'
+    shown = office({"ppt/slides/_rels/slide3.xml.rels": rels, "ppt/slides/_rels/slide12.xml.rels": rels, "ppt/media/image2.png": "abc", "ppt/media/image1.png": "d"})
+    for name, data in {"a.docx": DOCX, "b.pptx": shown, "c.xlsx": XLSX, "g.docx": b"broken", "d.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {(r.path.rpartition("/")[2], r.image_name): (r.slide_index, r.size, bytes(r.content)) for r in R.read_images(spark, str(tmp_path)).collect()}
+    assert got == {("a.docx", "image1.png"): (None, 1, b"x"), ("b.pptx", "image2.png"): (3, 3, b"abc"), ("b.pptx", "image1.png"): (None, 1, b"d")}
+
+
+def test_json_documents_and_overwrite(spark, tmp_path):
+    sinks.write_json(spark.createDataFrame([(1, "a")], "doc_id int, t string"), str(tmp_path / "o"))
+    sinks.write_json(spark.createDataFrame([(2, "b")], "doc_id int, t string"), str(tmp_path / "o"))
+    assert [(r.doc_id, r.t) for r in spark.read.json(str(tmp_path / "o")).collect()] == [(2, "b")]

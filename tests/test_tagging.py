@@ -144,3 +144,10 @@ def test_fallback_keywords(spark):
     found = spark.createDataFrame([(2, "x")], "doc_id int, phrase string")
     got = {r.doc_id: r.kw for r in K.fallback_keywords(docs, found, F.split(F.coalesce("text", F.lit("")), " "), 2).collect()}
     assert got == {1: ["b", "a"], 3: [""]} and K.fallback_keywords(docs.limit(0), found, F.split("text", " ")).count() == 0
+
+
+def test_patterns_as_words(spark):
+    df = spark.createDataFrame([("the error here",), ("terrors",), ("ora-12 오류",), ("how to do",), (None,)], "t string")
+    has = lambda p: [r[0] for r in df.select(C.has_pattern(F.col("t"), p)).collect()]
+    assert has(r"\berror\b") == [True, False, False, False, None] and has("오류") == [False, False, True, False, None]
+    assert has(r"ora-\d+") == [False, False, True, False, None] and has(r"\bhow to\b") == [False, False, False, True, None] and has("error|오류") == [True, True, True, False, None]
