@@ -51,7 +51,7 @@ def top_terms(post: DataFrame, df: DataFrame, n_docs: Column, k: int = 30) -> Da
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "term", "score", "rank", F.least("n_terms", F.lit(k)).alias("n_k"))
 
 
-def prior_frequency(first_seen: DataFrame, slices: str = "day") -> DataFrame:
+def prior_frequency(first_seen: DataFrame, slices: str = "hour") -> DataFrame:
     """(doc_id, term, prior_df): how many earlier documents had the term when each document came in.
 
     ``first_seen``: (doc_id, term, at), one row per document and term; the

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,5 +39,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     through as they are.  With the key of the work that follows, its grouping
     and windows need no further exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    spark = df.sparkSession
+    try:
+        cores, parts = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except PySparkException:  # a remote session tells neither; there the work is spread by the shuffle's own number
+        cores, parts = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+    return df if parts >= cores else df.repartition(cores, *keys)
