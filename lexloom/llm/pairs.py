@@ -72,11 +72,18 @@ SHORT_ODDS = 4.0  # log-odds that an answer which is no sentence is complete
 _LOGGED = 200  # the logger cuts answers at so many characters and adds " ..."
 
 
+_NO_LETTER = re.compile(r"[\W\d_]")
+
+
 class NgramBayes:
     """Character n-gram naive Bayes over languages: one row of log-likelihoods per known n-gram (orders 1 to 3)."""
 
     def __init__(self, lines: dict[str, list[str]], orders: int = 3):
         self.langs, self.orders = tuple(lines), orders
+        if orders > 3:
+            raise ValueError("n-grams of more than three characters would reach over whole words")
+        self.places: dict[str, int] = {}  # sums by word, kept in a table
+        self.sums = np.zeros((1 << 10, len(self.langs) + 1))
         counts = []
         for lang in self.langs:
             text = "\n".join(plain(x) for x in lines[lang])
@@ -90,15 +97,43 @@ class NgramBayes:
         line = f" {line} "
         return [line[i : i + k] for k in range(1, self.orders + 1) for i in range(len(line) - k + 1)]
 
+    def _place(self, key: str) -> int:
+        """Row of the sums over the n-grams that end in a word or in the blank after it; ``key``: the letter before the word's blank, the blank and the word."""
+        if len(self.places) == len(self.sums):
+            if len(self.places) >= 1 << 18:
+                self.places.clear()
+            else:
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        s, first = f"{key} ", key.index(" ") + 1
+        rows = [r for end in range(first + 1, len(s) + 1) for k in range(1, min(self.orders, end) + 1) if (r := self.index.get(s[end - k : end])) is not None]
+        at = self.places[key] = len(self.places)
+        self.sums[at, :-1] = self.table[rows].sum(axis=0)
+        self.sums[at, -1] = len(rows)
+        return at
+
     def posteriors(self, text: str) -> tuple[dict[str, float], int]:
-        """Posterior of each language, and the letters it rests on; n-grams overlap, so their weight is tempered."""
+        """Posterior of each language, and the letters it rests on; n-grams overlap, so their weight is tempered.
+
+        The sum over the n-grams goes word by word, as words recur; an n-gram
+        of up to three characters reaches at most one letter back over the
+        blank before a word.
+        """
         low = plain(text)
-        rows = [i for g in self._grams(low) if (i := self.index.get(g)) is not None]
-        if not rows:
+        before, at = "", []
+        for word in low.split(" "):
+            key = f"{before} {word}"
+            place = self.places.get(key)
+            at.append(self._place(key) if place is None else place)
+            before = word[-1:]
+        total = self.sums[at].sum(axis=0)
+        blank = self.index.get(" ")
+        if blank is not None:  # the blank before the first word
+            total[:-1] += self.table[blank]
+            total[-1] += 1
+        if not total[-1]:
             return {}, 0
-        total = self.table[rows].sum(axis=0) / self.orders
-        odds = np.exp(total - total.max())
-        return dict(zip(self.langs, (odds / odds.sum()).tolist())), sum(map(str.isalpha, low))
+        odds = np.exp((total[:-1] - total[:-1].max()) / self.orders)
+        return dict(zip(self.langs, (odds / odds.sum()).tolist())), len(low) - len(_NO_LETTER.findall(low))
 
 
 class EndModel:
