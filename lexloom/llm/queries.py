@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm import canonical, encoding, frequency, language, leakage, pairs, quality, splitting
-from lexloom.session import table
+from lexloom.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,7 +96,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and structural kind of every document."""
-    return quality.document_quality(table(spark, sf_dir, "documents"))
+    return quality.document_quality(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))  # a small file alone would be one task
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
