@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,8 @@ _INLINE_TAG = re.compile(r"</?(?!t[rdh][ >/]|table|thead|tbody)[a-zA-Z][^<>\n]{0
 _SEPARATOR = re.compile(r"[|│\t]|;(?!\s*$)|(?<=\S)\s{2,}(?=\S)|,(?=\S)|\s--(?=\s)|</?t[rdh][ >/]|\s[/›»·•#](?=\s|\w)")
 _EMPTY_CELL = re.compile(r"^\s{3,}\S|^\t+|\t(?=\t)")
 _RELATION = re.compile(r"[=→⇒]|->|=>|:(?=\s)|\s[-–—](?=\s)|\.{4,}|…{2,}")
+_RELATION_SIGNS = ("=", "→", "⇒", "->", ":", " -", "–", "—", "....", "……")  # without one of them there is nothing to find
+_JAMO = re.compile(r"[ㄱ-ㅣ]")
 _LOST = re.compile(r"\?{2,}|�+|[ㄱ-ㅣ]+")
 _STOP = re.compile(r"[.!?。！？](?=[\s\"'”’)\]」』]|$|[^\x00-\x7f])")
 _COMMA = re.compile(r"[,，、](?=\s|$|[^\x00-\x7f])|;\s*$")
@@ -136,8 +139,11 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
     if "," in body:
         body = _THOUSAND.sub(r"\1\2", body)
     bare, found = _SEPARATOR.subn(" ", body)
-    v[SEPARATOR] = found + len(_EMPTY_CELL.findall(line))
-    bare, v[RELATION] = _RELATION.subn(" ", bare)
+    v[SEPARATOR] = found
+    if line[:1].isspace() or "\t\t" in line:
+        v[SEPARATOR] += len(_EMPTY_CELL.findall(line))
+    if any(sign in bare for sign in _RELATION_SIGNS):
+        bare, v[RELATION] = _RELATION.subn(" ", bare)
     lang, ideographs, hits = east_asian(body)
     if lang:
         common, numbers = hits, len(NUMBER.findall(bare))
@@ -148,16 +154,21 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
         again = max(again, 1 - len(set(pieces)) / max(1, len(pieces)))
     else:
         tokens, by, seen, before = bare.split(), {}, set(), ""
+        often = Counter(tokens) if len(set(tokens)) < len(tokens) else None  # only what is there twice can come again
         for token in tokens:
             langs, kind, units = _unit(token)
-            if (before, token) in seen or (kind in (WORD, CODE) and not langs and token in seen):
-                v[AGAIN] += 1
-            else:
-                v[kind] += units
-                if langs:
-                    by[langs] = by.get(langs, 0) + 1
+            if often is not None and often[token] > 1:
+                pair = before, token
+                if pair in seen or (token in seen and kind in (WORD, CODE) and not langs):
+                    v[AGAIN] += 1
+                    seen.add(pair)
+                    before = token
+                    continue
                 seen.add(token)
-            seen.add((before, token))
+                seen.add(pair)
+            v[kind] += units
+            if langs:
+                by[langs] = by.get(langs, 0) + 1
             before = token
         common = best_language(by)[1] if by else 0
         words = int(v[WORD] + v[AGAIN] + v[NUMERIC] + v[CODE])
@@ -170,7 +181,7 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
         if pairs >= 8:
             v[GARBLED] += pairs
             v[NUMERIC] = v[CODE] = 0.0
-    if "??" in body or not body.isascii():
+    if "??" in body or "�" in body or (not body.isascii() and _JAMO.search(body)):
         v[LOST] = sum(map(len, _LOST.findall(body))) / 2
     v[STOP], v[COMMA] = len(_STOP.findall(body)), len(_COMMA.findall(body))
     if again:

@@ -49,7 +49,7 @@ def token_class(token: str) -> tuple[str, int]:
 
 def east_asian(line: str) -> tuple[str, int, int]:
     """``ja`` or ``zh`` with the characters of its scripts and those that are function characters, or an empty language."""
-    if CJK.search(line):
+    if not line.isascii() and CJK.search(line):
         cjk = CJK.findall(line)
         if len(cjk) * 2 > len(HANGUL.findall(line)) * 2 + len(line) * 0.5:
             lang, chars = ("ja", JAPANESE) if KANA.search(line) else ("zh", CHINESE)
