@@ -191,6 +191,11 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
     return v, common, words
 
 
+@lru_cache(maxsize=1 << 16)
+def _short_line(line: str) -> tuple[list[float], int, int]:
+    return line_counts(line)
+
+
 class Profiles:
     """Measured distributions of the forms of each structure."""
 
@@ -246,7 +251,7 @@ def describe_all(texts: list[str | None], profiles: Profiles) -> list[dict]:
         repeated, seen, common, words = 1 - len(set(bodies)) / max(1, len(bodies)), set(), 0, 0
         first = len(counts)
         for line, body in zip(lines, bodies):
-            v, c, w = line_counts(line, repeated if body in seen else 0.0)
+            v, c, w = _short_line(line) if len(line) <= 60 and body not in seen else line_counts(line, repeated if body in seen else 0.0)  # short lines recur
             seen.add(body)
             counts.append(v)
             common, words = common + c, words + w
