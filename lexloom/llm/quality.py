@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,36 +28,44 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.seeds import SEED
 from lexloom.llm.structures import STRUCTURES, structural_samples
-from lexloom.llm.wording import CJK, EDGES, HANGUL, NUMBER, best_language, east_asian, token_class
+from lexloom.llm.wording import CJK, EDGES, HANGUL, NUMBER, east_asian, token_class
 
 CLASSES = ("function", "word", "again", "number", "code", "mark", "symbol", "lost", "garbled", "stop", "comma", "separator", "relation", "end")
 FUNCTION, WORD, AGAIN, NUMERIC, CODE, MARK, SYMBOL, LOST, GARBLED, STOP, COMMA, SEPARATOR, RELATION, END = range(len(CLASSES))
 LINE_END = 1.5  # units of a line end beside one unit a word
 LINE_CHARS = 8  # what a line weighs beside its characters
 
-_END = re.compile(r"[.!?。！？…:;][\"'”’)\]」』]*$")
+_ENDS, _CLOSERS = (".", "!", "?", "。", "！", "？", "…", ":", ";"), "\"'”’)]」』"
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
+_INNER_BREAK = re.compile(r"[\x1c-\x1e]")  # splitlines alone takes them for line ends
 _RULER = re.compile(r"^[\s|+\-=:─━┼┬┴├┤│┌┐└┘═╪╬]+$")
 _ENTRY = re.compile(r"^(?:(?:[-*•▶·‣◦○●■□◆▪–—]|\[[ xXvV]?\]|[☐☑☒✓✔]|\(?\d{1,3}[.)]|\[\d{1,3}\]|\(?[a-zA-Z가-힣][.)]|[①-⑳])\s+|\d+(?:\.\d+)+\.?\s(?=[^\W\d_]))")
 _PATH = re.compile(r"^(?:[A-Za-z]:)?[/\\]\S+$|^\S+[/\\]\S+[/\\]\S*$|^https?://\S+$")
 _INLINE_TAG = re.compile(r"</?(?!t[rdh][ >/]|table|thead|tbody)[a-zA-Z][^<>\n]{0,100}>")
-_SEPARATOR = re.compile(r"[|│\t]|;(?!\s*$)|(?<=\S)\s{2,}(?=\S)|,(?=\S)|\s--(?=\s)|</?t[rdh][ >/]|\s[/›»·•#](?=\s|\w)")
+_SEPARATOR = re.compile(r"[|│\t;,<\s](?:(?<=[|│\t])|(?<=;)(?!\s*$)|(?<=,)(?=\S)|(?<=\s)(?:(?<=\S\s)\s+(?=\S)|--(?=\s)|[/›»·•#](?=\s|\w))|(?<=<)/?t[rdh][ >/])")  # its first character is looked for alone
+_PLAIN = re.compile(r"[0-9a-z.,:/%_'-]+")
+_DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[a-z]")
 _EMPTY_CELL = re.compile(r"^\s{3,}\S|^\t+|\t(?=\t)")
-_RELATION = re.compile(r"[=→⇒]|->|=>|:(?=\s)|\s[-–—](?=\s)|\.{4,}|…{2,}")
-_RELATION_SIGNS = ("=", "→", "⇒", "->", ":", " -", "–", "—", "....", "……")  # without one of them there is nothing to find
+_RELATION = re.compile(r"[=→⇒:.…–—-](?:(?<=[=→⇒])|(?<=-)>|(?<=:)(?=\s)|(?<=\s[-–—])(?=\s)|(?<=\.)\.{3,}|(?<=…)…+)")
+_WIDE_RELATION = re.compile(r"[→⇒–—…]")
 _JAMO = re.compile(r"[ㄱ-ㅣ]")
 _LOST = re.compile(r"\?{2,}|�+|[ㄱ-ㅣ]+")
 _STOP = re.compile(r"[.!?。！？](?=[\s\"'”’)\]」』]|$|[^\x00-\x7f])")
 _COMMA = re.compile(r"[,，、](?=\s|$|[^\x00-\x7f])|;\s*$")
 _THOUSAND = re.compile(r"(?<![\w.,])(\d{1,3}),(\d{3})(?![\w,]|\.\d)")
+_COMMA_DIGITS = re.compile(r",\d{3}")
+_WIDE_COMMA = re.compile(r"[，、]")
 _BYTE = re.compile(r"^[0-9a-fA-F]{2}$")
 _ODD = re.compile(r"(?<=\w)[{}|`^~§¬!;<>#&*=+$@](?=\w)|[{}`^~§¬|]{2}")
 _STRAY = re.compile(r"[{}|`^~§¬!;'<>#&*=+$@]")
-_INLINE_MARK = re.compile(r"\*\*|(?<=\w)\[\d{1,3}\]|&[a-z]{2,6};")
+_INLINE_MARK = re.compile(r"\*\*|\[(?<=\w\[)\d{1,3}\]|&[a-z]{2,6};")
 _ALNUM = re.compile(r"[^\W_]+")
+_ASCII_ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
 _FULL_WIDTH = re.compile(r"[Ａ-ｚ]")
 _PIECES = re.compile(r"(?<=[。！？])|\s+")
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
+_LATIN_BYTES = [c.encode() for c in _LATIN]
 #: Letter counts of running Latin text, from the seeds of the languages that are written so.
 LETTERS = tuple(sum(SEED[lang].lower().count(c) for lang in ("en", "de", "fr", "es", "pt")) for c in _LATIN)
 
@@ -77,30 +87,82 @@ def _entropy(p: np.ndarray) -> np.ndarray:
     return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(axis=-1)
 
 
-def divergences(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of counts to each profile."""
-    p = counts / counts.sum(axis=1, keepdims=True)
-    own = _entropy(p)
-    return np.stack([_entropy((p + q) / 2) - (own + _entropy(q)) / 2 for q in profiles], axis=1)
+def divergences(counts: np.ndarray, profiles: np.ndarray, step: int = 512) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of counts to each profile.
+
+    A class that a row lacks adds the same to each row's divergence from a
+    profile; only those that it has take a logarithm a profile.  ``step`` rows
+    at a time stay in the processor's cache.
+    """
+    half = profiles / 2
+    lacking = half * np.log2(np.where(half > 0, half, 1.0))
+    fixed = -lacking.sum(axis=1) - _entropy(profiles) / 2
+    out = np.empty((len(counts), len(profiles)))
+    for at in range(0, len(counts), step):
+        p = counts[at : at + step]
+        p = p / p.sum(axis=1, keepdims=True)
+        d = out[at : at + step]
+        d[:] = fixed - _entropy(p)[:, None] / 2
+        for c in range(p.shape[1]):
+            rows = np.flatnonzero(p[:, c])
+            m = p[rows, c][:, None] / 2 + half[:, c]
+            d[rows] -= m * np.log2(m) - lacking[:, c]
+    return out
 
 
 def letters_off(line: str) -> bool:
     """Whether a line's Latin letters are spread as in no language; the bound allows for chance in short lines."""
     low = line.lower()
-    counts = [low.count(c) for c in _LATIN]
+    ascii_only, dense = low.encode("ascii", "ignore"), len(low) - low.count(" ")
+    if (len(ascii_only) - ascii_only.count(b" ")) * 2 <= dense:
+        return False
+    counts = [ascii_only.count(c) for c in _LATIN_BYTES]
     n = sum(counts)
-    return n >= 60 and n * 2 > len(low) - low.count(" ") and divergence(tuple(counts), LETTERS) > 0.05 + 5 / n
+    return n >= 60 and n * 2 > dense and divergence(tuple(counts), LETTERS) > 0.05 + 5 / n
+
+
+class _Unit:
+    """What tokens of a kind count as: languages in which they are function words, class, units, and whether two hex digits.  Kept one of each, so that they are counted by identity."""
+
+    __slots__ = ("langs", "kind", "units", "byte")
+
+    def __init__(self, langs: str, kind: int, units: float, byte: bool):
+        self.langs, self.kind, self.units, self.byte = tuple(langs.split()), kind, units, byte
+
+
+_one_unit = lru_cache(maxsize=None)(_Unit)  # none is dropped, as a second one would count apart; there are no more than different lengths of tokens
+
+
+class _Units(dict):
+    """What each token counts as, kept for tokens of up to 64 characters, which recur; begun anew when full."""
+
+    most = 1 << 18
+
+    def __missing__(self, token: str) -> _Unit:
+        unit = _one_unit(*_classed(token), len(token) == 2 and bool(_BYTE.match(token)))
+        if len(token) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = unit
+        return unit
 
 
-@lru_cache(maxsize=1 << 18)
-def _unit(token: str) -> tuple[str, int, float]:
-    """Languages in which a token is a function word, its class, and the units that it counts; cached, as tokens recur."""
+_UNITS = _Units()
+_unit = _UNITS.__getitem__
+
+
+def _classed(token: str) -> tuple[str, int, float]:
+    """Languages in which a token is a function word, its class, and the units that it counts."""
     if len(token) == 1 and token.isupper() and token not in "AIO":
         return "", MARK, 1.0
     word = token.lower().strip(EDGES)
     symbols = "", SYMBOL, max(1.0, len(token) / 3)
     if not word:
         return ("", CODE, 1.0) if any(map(str.isalnum, token)) else symbols
+    if len(word) < 40 and word.isalpha():  # letters alone are neither odd nor symbols
+        return token_class(token)[0], WORD, 1.0
+    if len(word) < 40 and _PLAIN.fullmatch(word) and (_DIGIT.search(word) or not _LETTER.search(word)):
+        return "", CODE if _LETTER.search(word) else NUMERIC, 1.0
     korean = HANGUL.search(word)
     if len(word) >= 40 and not korean and not CJK.search(word) and not _PATH.match(token):
         return "", GARBLED, len(word) / 6
@@ -118,6 +180,33 @@ def _unit(token: str) -> tuple[str, int, float]:
     return symbols
 
 
+def _apart(body: str) -> bool:
+    """Whether a line with single spaces as its only white space may have separators; if not, each comma ends a word."""
+    if "," in body and body.count(",") > body.count(", ") + body.endswith(","):
+        return True
+    if "|" in body or ";" in body or "<" in body or " #" in body or " /" in body or " --" in body:
+        return True
+    return not body.isascii() and ("│" in body or "·" in body or "•" in body or "›" in body or "»" in body)
+
+
+def _come_again(tokens: list[str]) -> tuple[dict[_Unit, int], int]:
+    """The tokens of a line that come again, by what they count as, and their number."""
+    gone, n, seen, befores = {}, 0, set(), {}
+    for at, token in enumerate(tokens):
+        if token not in seen:
+            seen.add(token)
+            continue
+        before, unit, known = tokens[at - 1], _unit(token), befores.get(token)
+        if known is None:
+            first = tokens.index(token)
+            known = befores[token] = {tokens[first - 1] if first else ""}
+        if before in known or (not unit.langs and unit.kind in (WORD, CODE)):
+            gone[unit] = gone.get(unit, 0) + 1
+            n += 1
+        known.add(before)
+    return gone, n
+
+
 def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
     """Units of each class in a line, and its common words among all its words.
 
@@ -136,13 +225,15 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
     if entry:
         v[MARK] += 1
         body = body[entry.end() :]
-    if "," in body:
+    if "," in body and _COMMA_DIGITS.search(body):
         body = _THOUSAND.sub(r"\1\2", body)
-    bare, found = _SEPARATOR.subn(" ", body)
-    v[SEPARATOR] = found
+    tokens, bare = body.split(), body
+    even = " ".join(tokens) == body and not _apart(body)
+    if not even:
+        bare, v[SEPARATOR] = _SEPARATOR.subn(" ", body)
     if line[:1].isspace() or "\t\t" in line:
         v[SEPARATOR] += len(_EMPTY_CELL.findall(line))
-    if any(sign in bare for sign in _RELATION_SIGNS):
+    if "=" in bare or ":" in bare or " -" in bare or "->" in bare or "...." in bare or (not bare.isascii() and _WIDE_RELATION.search(bare)):  # otherwise there is nothing to find
         bare, v[RELATION] = _RELATION.subn(" ", bare)
     lang, ideographs, hits = east_asian(body)
     if lang:
@@ -153,37 +244,33 @@ def line_counts(line: str, again: float = 0.0) -> tuple[list[float], int, int]:
         pieces = [p for p in _PIECES.split(bare) if p]
         again = max(again, 1 - len(set(pieces)) / max(1, len(pieces)))
     else:
-        tokens, by, seen, before = bare.split(), {}, set(), ""
-        often = Counter(tokens) if len(set(tokens)) < len(tokens) else None  # only what is there twice can come again
-        for token in tokens:
-            langs, kind, units = _unit(token)
-            if often is not None and often[token] > 1:
-                pair = before, token
-                if pair in seen or (token in seen and kind in (WORD, CODE) and not langs):
-                    v[AGAIN] += 1
-                    seen.add(pair)
-                    before = token
-                    continue
-                seen.add(token)
-                seen.add(pair)
-            v[kind] += units
-            if langs:
-                by[langs] = by.get(langs, 0) + 1
-            before = token
-        common = best_language(by)[1] if by else 0
+        if bare is not body:
+            tokens = bare.split()
+        units, by, pairs, gone = Counter(map(_unit, tokens)), {}, 0, {}
+        if len(set(tokens)) < len(tokens):
+            gone, v[AGAIN] = _come_again(tokens)
+        for unit, n in units.items():
+            if unit.byte:
+                pairs += n
+            if gone:
+                n -= gone.get(unit, 0)
+            v[unit.kind] += n * unit.units
+            for x in unit.langs:
+                by[x] = by.get(x, 0) + n
+        common = max(by.values()) if by else 0
         words = int(v[WORD] + v[AGAIN] + v[NUMERIC] + v[CODE])
         v[FUNCTION] = common
         v[WORD] -= common
         if len(body) >= 60 and common < 0.12 * (v[WORD] + v[AGAIN] + common) and letters_off(body):
             v[GARBLED] += v[WORD]
             v[WORD] = 0.0
-        pairs = sum(1 for t in tokens if len(t) == 2 and _BYTE.match(t)) if len(tokens) >= 8 else 0
         if pairs >= 8:
             v[GARBLED] += pairs
             v[NUMERIC] = v[CODE] = 0.0
     if "??" in body or "�" in body or (not body.isascii() and _JAMO.search(body)):
         v[LOST] = sum(map(len, _LOST.findall(body))) / 2
-    v[STOP], v[COMMA] = len(_STOP.findall(body)), len(_COMMA.findall(body))
+    v[STOP] = len(_STOP.findall(body))
+    v[COMMA] = body.count(",") if even and (body.isascii() or not _WIDE_COMMA.search(body)) else len(_COMMA.findall(body))
     if again:
         for kind in (WORD, FUNCTION):
             v[AGAIN] += v[kind] * again
@@ -214,9 +301,11 @@ class Profiles:
         """Divergence of each row of counts to the nearest profile of each structure."""
         if not len(counts):
             return np.zeros((0, len(STRUCTURES)))
-        distinct, where = np.unique(np.round(counts, 3), axis=0, return_inverse=True)
+        rounded, first = np.ascontiguousarray(np.round(counts, 3)), {}
+        where = [first.setdefault(row, len(first)) for row in rounded.view(f"V{rounded.itemsize * rounded.shape[1]}").ravel().tolist()]
+        distinct = np.frombuffer(b"".join(first), rounded.dtype).reshape(len(first), -1)
         d = divergences(distinct, self.table)
-        return np.stack([d[:, of].min(axis=1) for of in self.of], axis=1)[where.reshape(-1)]
+        return np.stack([d[:, of].min(axis=1) for of in self.of], axis=1)[where]
 
 
 @lru_cache(maxsize=1)
@@ -228,6 +317,25 @@ def _none() -> dict:
     return {"n_words": 0, "mean_word_len": None, "symbol_share": None, "punct_line_share": None, "common_share": None, "divergence": None, "kind": None}
 
 
+@lru_cache(maxsize=1)
+def _alphanumeric() -> np.ndarray:
+    """Whether each code point of the first plane is a letter or digit."""
+    table = np.zeros(1 << 16, bool)
+    for run in _ALNUM.finditer("".join(map(chr, range(len(table))))):
+        table[run.start() : run.end()] = True
+    return table
+
+
+def _symbols(joined: str) -> int:
+    """The characters that are neither letters nor digits, in a text without its white space."""
+    if joined.isascii():
+        return len(joined.encode().translate(None, _ASCII_ALNUM))
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if points.max() >= 1 << 16:
+        return len(joined) - sum(map(len, _ALNUM.findall(joined)))
+    return len(joined) - int(np.count_nonzero(_alphanumeric()[points]))
+
+
 def describe(text: str | None, profiles: Profiles | None = None) -> dict:
     """All statistics of a text: see :func:`document_quality`."""
     return describe_all([text], profiles or default_profiles())[0]
@@ -235,43 +343,47 @@ def describe(text: str | None, profiles: Profiles | None = None) -> dict:
 
 def describe_all(texts: list[str | None], profiles: Profiles) -> list[dict]:
     """The statistics of many texts; the lines of all of them are compared with the profiles together."""
-    out, counts, spans = [], [], []
+    out, counts, weights, rows, firsts = [], array("d"), [], [], []
     for text in texts:
         out.append(_none())
         if text is None or not text.strip():
             continue
         tokens = text.split()
-        dense = sum(map(len, tokens))
+        joined = "".join(tokens)
+        dense = len(joined)
         plain = text if not _FULL_WIDTH.search(text) and unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFKC", text)
         if "<" in plain:
             plain = _INLINE_TAG.sub(" ", plain)
-        plain = _INLINE_MARK.sub("", plain)
-        lines = [ln for ln in _LINES.split(plain) if ln and not ln.isspace()]
+        if "[" in plain or "&" in plain or "**" in plain:
+            plain = _INLINE_MARK.sub("", plain)
+        lines = [ln for ln in (_LINES.split(plain) if _INNER_BREAK.search(plain) else plain.splitlines()) if ln and not ln.isspace()]
         bodies = [ln.strip() for ln in lines]
         repeated, seen, common, words = 1 - len(set(bodies)) / max(1, len(bodies)), set(), 0, 0
-        first = len(counts)
+        if lines:
+            rows.append(len(out) - 1)
+            firsts.append(len(weights))
         for line, body in zip(lines, bodies):
             v, c, w = _short_line(line) if len(line) <= 60 and body not in seen else line_counts(line, repeated if body in seen else 0.0)  # short lines recur
             seen.add(body)
-            counts.append(v)
+            counts.extend(v)
+            weights.append(len(body) + LINE_CHARS)
             common, words = common + c, words + w
-        spans.append((len(out) - 1, first, [len(b) + LINE_CHARS for b in bodies]))
         out[-1] |= {
             "n_words": len(tokens),
             "mean_word_len": dense / len(tokens),
-            "symbol_share": (dense - sum(map(len, _ALNUM.findall(text)))) / dense,
-            "punct_line_share": sum(bool(_END.search(b)) for b in bodies) / max(1, len(bodies)),
+            "symbol_share": _symbols(joined) / dense,
+            "punct_line_share": sum([b.rstrip(_CLOSERS).endswith(_ENDS) for b in bodies]) / max(1, len(bodies)),
             "common_share": common / max(1, words),
         }
-    near = profiles.nearest(np.array(counts).reshape(len(counts), len(CLASSES)))
-    table = STRUCTURES.index("table")
-    for row, first, weights in spans:
-        if weights:
-            own = near[first : first + len(weights)]
-            mean = np.average(own, axis=0, weights=weights)
-            if (own.argmin(axis=1) == table).sum() < 2:  # one row is no table: its cells are entries
-                mean[table] = 1.0
-            out[row] |= {"divergence": float(mean.min()), "kind": STRUCTURES[int(mean.argmin())]}
+    if not rows:
+        return out
+    near = profiles.nearest(np.frombuffer(counts).reshape(-1, len(CLASSES)))
+    share, table = np.array(weights, float), STRUCTURES.index("table")
+    mean = np.add.reduceat(near * share[:, None], firsts, axis=0) / np.add.reduceat(share, firsts)[:, None]
+    of_table = np.add.reduceat((near.argmin(axis=1) == table).astype(int), firsts)
+    mean[of_table < 2, table] = 1.0  # one row is no table: its cells are entries
+    for row, least, kind in zip(rows, mean.min(axis=1).tolist(), mean.argmin(axis=1).tolist()):
+        out[row] |= {"divergence": least, "kind": STRUCTURES[kind]}
     return out
 
 

@@ -18,7 +18,10 @@ KOREAN_END = ("은", "는", "을", "를", "에", "에서", "에게", "의", "와
 KOREAN_FREE = frozenset("및 그 이 저 것 수 때 뒤 후 등 또는 그리고 하지만 누가 모두 함께 다시 먼저 따로 더 자주 잘못 잠시 그대로 약 두 세 한 개가 없다 있다 경우 이유로 사실을 참고로 보통 현재 처음에는 예전".split())
 JAPANESE = frozenset("はがをにのでともへやかられてたですますいないする")
 CHINESE = frozenset("的了在是不我有和就要把被从也都与为对这那但所以因着过并且怎样请用到会已经没每个")
-_COMMON_SETS = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
+_COMMON_OF: dict[str, str] = {}  # word -> its languages
+for _lang, _words in COMMON.items():
+    for _word in set(_words.split()):
+        _COMMON_OF[_word] = f"{_COMMON_OF[_word]} {_lang}" if _word in _COMMON_OF else _lang
 
 EDGES = "\"'.,:;!?()[]{}<>«»“”„‘’…·。、，；：！？（）「」『』*_#`~"
 _APOSTROPHE = re.compile(r"['’\-]")
@@ -43,8 +46,10 @@ def token_class(token: str) -> tuple[str, int]:
         return ("ko", 1) if tail in KOREAN_FREE or (len(tail) > 1 and tail.endswith(KOREAN_END)) else ("", 1)
     if not any(map(str.isalpha, word)) or (any(map(str.isdigit, word)) and not word.isalpha()):
         return "", 2
-    parts = _APOSTROPHE.split(word)
-    return " ".join(lang for lang, words in _COMMON_SETS.items() if any(p in words for p in parts)), 1
+    if word.isalpha():
+        return _COMMON_OF.get(word, ""), 1
+    langs = {lang for part in _APOSTROPHE.split(word) for lang in _COMMON_OF.get(part, "").split()}
+    return " ".join(lang for lang in COMMON if lang in langs), 1
 
 
 def east_asian(line: str) -> tuple[str, int, int]:

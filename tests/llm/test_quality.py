@@ -1,6 +1,7 @@
 """Problem 8: kinds of texts and their statistics."""
 
 import random
+import re
 import string
 
 import numpy as np
@@ -95,3 +96,64 @@ def test_empty_and_odd_texts():
         assert quality.describe(text)["kind"] is None
     assert kind("￿" * 50) is not None and kind("a" * 200_000) == "junk"
     assert quality.describe_all([], quality.default_profiles()) == []
+
+
+def test_plain_lines_need_no_pattern_of_separators(monkeypatch):
+    class Refused:
+        def subn(self, *_):
+            raise AssertionError("searched")
+
+    lines = ["The log, the index, and the queue were read (twice).", "관리자는 로그를 확인하고, 서버를 다시 시작했습니다.", "- the server-side queue was moved"]
+    want = [quality.line_counts(x) for x in lines]
+    monkeypatch.setattr(quality, "_SEPARATOR", Refused())
+    assert [quality.line_counts(x) for x in lines] == want and all(v[quality.SEPARATOR] == 0 for v, _, _ in want)
+
+
+def test_only_classes_of_a_row_take_logarithms(monkeypatch):
+    taken, log2 = [0], np.log2
+    counts, profiles = np.eye(14)[[0, 3] * 50] + np.eye(14)[13], np.full((40, 14), 1 / 14)
+    monkeypatch.setattr(np, "log2", lambda x: (taken.__setitem__(0, taken[0] + np.size(x)), log2(x))[1])
+    quality.divergences(counts, profiles)
+    assert taken[0] < counts.size * len(profiles) / 4
+
+
+def test_quick_ways_give_what_the_patterns_give():
+    plain = {
+        "_SEPARATOR": r"[|│\t]|;(?!\s*$)|(?<=\S)\s{2,}(?=\S)|,(?=\S)|\s--(?=\s)|</?t[rdh][ >/]|\s[/›»·•#](?=\s|\w)",
+        "_RELATION": r"[=→⇒]|->|=>|:(?=\s)|\s[-–—](?=\s)|\.{4,}|…{2,}",
+        "_INLINE_MARK": r"\*\*|(?<=\w)\[\d{1,3}\]|&[a-z]{2,6};",
+    }
+    rng = random.Random(4)
+    parts = [*"aB1.,;:|│\t-–—=→⇒>…·•›»/#<?&*[] \xa0", "  ", " - ", " -- ", "->", "<td>", "</tr ", "[1]", "&amp;", "漢", "가", "。", "，", "the", "İ", "😀", "½"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 25)))
+        for name, pattern in plain.items():
+            bare, n = re.subn(pattern, " ", text)
+            got, m = getattr(quality, name).subn(" ", text)
+            assert (got.split(), m) == (bare.split(), n), (name, text)
+        body = " ".join(text.split())
+        assert quality._apart(body) or not re.search(plain["_SEPARATOR"], body), body
+        joined = "".join(text.split())
+        assert quality._symbols(joined) == sum(not c.isalnum() for c in joined)
+
+
+def test_words_that_come_again():
+    rng = random.Random(6)
+    for _ in range(300):
+        tokens = rng.choices(["the", "of", "index", "AB-12", "12", "queue", "--", "a"], k=rng.randrange(1, 30))
+        want, seen, before = {}, set(), ""
+        for token in tokens:
+            unit = quality._unit(token)
+            if (before, token) in seen or (token in seen and unit.kind in (quality.WORD, quality.CODE) and not unit.langs):
+                want[unit] = want.get(unit, 0) + 1
+            seen |= {token, (before, token)}
+            before = token
+        assert quality._come_again(tokens) == (want, sum(want.values()))
+
+
+def test_kept_tokens_are_bounded():
+    units = quality._Units()
+    units.most = 10
+    assert [units[f"w{i}"].kind for i in range(35)] == [quality.CODE] * 35 and len(units) <= 10
+    line = " ".join("#" * n for n in [*range(1, 5000), 70, 70, 4999])  # more lengths than are likely, some of them twice
+    assert quality.line_counts(line)[0][quality.SYMBOL] > 4e6 and "#" * 70 not in quality._UNITS
